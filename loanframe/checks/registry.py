@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loanframe.checks import statements
+from loanframe.checks import cases, loans, models, records, statements
 
 QUERIES = {}
 ORACLE = {}
-for part in (statements,):
+for part in (statements, loans, cases, records, models):
     QUERIES.update(part.QUERIES)
     ORACLE.update(part.ORACLE)

@@ -236,9 +236,9 @@ bankfeat AS (
     avg(expense) AS expense_mean, stddev_samp(expense) AS expense_std,
     avg(rate) AS savings_rate_mean, avg(CAST(balance < 0 AS INT)) AS overdraft_frequency,
     avg(ratio) AS cc_payment_ratio_mean, sum(total) AS total,
-    coalesce(regr_slope(income, t), 0) AS income_trend,
-    coalesce(regr_slope(expense, t), 0) AS expense_trend,
-    coalesce(regr_slope(net, t), 0) AS savings_trend
+    CASE WHEN count(*) > 1 THEN regr_slope(income, t) ELSE 0 END AS income_trend,
+    CASE WHEN count(*) > 1 THEN regr_slope(expense, t) ELSE 0 END AS expense_trend,
+    CASE WHEN count(*) > 1 THEN regr_slope(net, t) ELSE 0 END AS savings_trend
   FROM joined GROUP BY ALL),
 features AS (
   SELECT b.*, coalesce(c.disc, 0) / nullif(b.total, 0) AS discretionary_share,
