@@ -176,7 +176,7 @@ ORACLE["median_fill"] = with_standins(
     ["application"],
     f"""WITH cleaned AS ({_clean_sql("monthly_debt / nullif(annual_income, 0) * 1200").replace("(round(", "((").replace(", 6) + CAST(0 AS DOUBLE))", "))")})
 SELECT app_id, """
-    + ", ".join(r(f'coalesce("{c}", median("{c}") OVER ())') + f' AS "{c}"' for c in loans.NUMERIC)
+    + ", ".join(r(f'coalesce("{c}", (SELECT median("{c}") FROM cleaned))') + f' AS "{c}"' for c in loans.NUMERIC)
     + " FROM cleaned",
 )
 

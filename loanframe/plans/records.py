@@ -161,7 +161,7 @@ def cited_cases(df: DataFrame, key: str = "app_id", reason: str = "reason") -> D
     groups = F.regexp_extract_all(F.col(reason), F.lit(r"\[([0-9, ]+)\]"), F.lit(1))
     ids = F.flatten(F.transform(groups, lambda g: F.split(g, ",")))
     return (
-        df.select(key, F.explode(F.array_distinct(F.transform(ids, F.trim))).alias("text"))
+        df.select(key, F.explode(F.array_distinct(F.transform(ids, lambda i: F.trim(i)))).alias("text"))
         .select(key, F.col("text").try_cast("bigint").alias("case_id"))
         .where(F.col("case_id").isNotNull())
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -51,3 +52,20 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is written yet."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def memory_bytes(setting: str) -> int:
+    """``4g``, ``512m``, ``134217728b`` or a plain number as bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", setting.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def task_memory_mb(spark: SparkSession, share: float = 0.25) -> int:
+    """A share of the heap, divided by the tasks that run in it at once."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g")
+    tasks = spark.sparkContext.defaultParallelism if local else int(
+        conf.get("spark.executor.cores", "1")
+    )
+    return max(16, int(memory_bytes(heap) * share) // (tasks << 20))

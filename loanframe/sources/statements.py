@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanframe import schemas
+from loanframe.session import memory_bytes
 
 # How statement files are named.
 BANK_FILES = "bank_user_*.csv"
@@ -28,9 +27,7 @@ def file_name_of(kind: str, user_id: Column) -> Column:
 
 def _split_bits(spark: SparkSession) -> int:
     """Bits that hold any byte position inside one split."""
-    setting = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", setting).groups()
-    return (int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]).bit_length()
+    return memory_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")).bit_length()
 
 
 def _scan(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:

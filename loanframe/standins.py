@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loanframe.session import scratch_path
+
 STANDINS: dict[str, str] = {}
 
 STANDINS["bank"] = """
@@ -150,3 +152,10 @@ def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def standin_sql(name: str) -> str:
     """The stand-in as a subquery over the registered views."""
     return "(" + re.sub(r"{(\w+)}", r"\1", STANDINS[name]).strip() + ")"
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The stand-in as a table in the shared scratch folder, as loan history would be."""
+    path = scratch_path(spark, name)
+    standin(spark, sf_dir, name).write.parquet(path)
+    return spark.read.parquet(path)
