@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loanframe.checks.sqltext import r, rounded, with_standins
 from loanframe.plans import profiles, statements
 from loanframe.schemas import FEATURES, FLAGS
+from loanframe.session import scratch_path
 from loanframe.sources.statements import keep_paired
+from loanframe.sources.tables import write_table
 from loanframe.standins import standin
 
 QUERIES = {}
@@ -32,6 +34,13 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return profiles.rule_flags(statements.features(*_pair(spark, sf), GRAIN))
 
 
+def _profile_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch result as a stored table, which the cohort comparison reads."""
+    path = scratch_path(spark, "profiles")
+    write_table(_features(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 def _round_all(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({n: rounded(n) for n in names})
 
@@ -330,7 +339,7 @@ ORACLE["account_year_features"] = with_standins(
 
 @query
 def zscore_vectors(spark, sf):
-    df = _features(spark, sf)
+    df = _profile_table(spark, sf)
     scale = profiles.fit_scale(df, profiles.numeric_columns(df))
     df = profiles.standardize(df, scale)
     return df.select("user_id", *[rounded(F.col("vector")[i]).alias(c) for i, c in enumerate(scale)])
@@ -366,7 +375,7 @@ nearest AS (
 
 @query
 def cohort_topk(spark, sf):
-    df = _features(spark, sf)
+    df = _profile_table(spark, sf)
     nearest = profiles.neighbours(df, df, COHORT)
     return nearest.select("user_id", "rank", "neighbour", rounded("score").alias("score"))
 
@@ -386,7 +395,7 @@ PRIORS = """priors AS (
 
 @query
 def cohort_priors(spark, sf):
-    df = _features(spark, sf)
+    df = _profile_table(spark, sf)
     priors = profiles.cohort(df, df, COHORT)
     return _round_all(priors, [f"p_{f}" for f in FLAGS]).select(
         "user_id", "n_neighbors", *[f"p_{f}" for f in FLAGS]
@@ -404,7 +413,7 @@ ORACLE["cohort_priors"] = with_standins(
 
 @query
 def cohort_exemplars(spark, sf):
-    df = _features(spark, sf)
+    df = _profile_table(spark, sf)
     rows = profiles.cohort(df, df, COHORT).select("user_id", F.posexplode("exemplars").alias("i", "e"))
     return rows.select(
         "user_id",
@@ -427,7 +436,7 @@ FROM nearest n JOIN flags f ON f.user_id = n.neighbour WHERE n.rank <= 2""",
 
 @query
 def cohort_sentence(spark, sf):
-    df = _features(spark, sf)
+    df = _profile_table(spark, sf)
     return profiles.cohort(df, df, COHORT).select("user_id", "cohort_conclusion", "cohort_hint")
 
 

@@ -206,8 +206,9 @@ def terms_change(df: DataFrame) -> DataFrame:
 def ledger(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cost per call and running totals in (timestamp, call_id) order.
 
-    ``call_id`` is a unique BIGINT. Calls are cut by day, second and id before the running sums, so
-    one ledger that holds every call still spreads over many tasks.
+    ``call_id`` is a unique BIGINT. Calls are cut by day, second, exact time and id before the running
+    sums, so one ledger that holds every call, or one instant that holds most of them, still spreads
+    over many tasks.
     """
     tokens = scalar.token_total(
         F.col("prompt_tokens"), F.col("completion_tokens"), F.col("total_tokens")
@@ -218,13 +219,15 @@ def ledger(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     priced = calls.withColumns({"cost_usd": cost, "total_tokens": tokens})
     levels = [
         ("__day", F.col("timestamp").cast("date")),
-        ("__second", F.date_trunc("second", F.col("timestamp").cast("timestamp"))),
+        ("__second", F.date_trunc("second", F.col("timestamp"))),
+        ("__time", F.col("timestamp")),
+        ("__part", F.shiftright(F.col("call_id"), 16)),
     ]
     return running_sums(
         priced,
         keys or [],
         levels,
-        ["timestamp", "call_id"],
+        ["call_id"],
         {"cumulative_tokens": F.col("total_tokens"), "total_cost_usd": F.col("cost_usd")},
     )
 

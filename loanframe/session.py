@@ -21,6 +21,9 @@ DEFAULTS = {
 }
 
 
+_local_roots: dict[str, str] = {}
+
+
 def get_session(app: str = "loanframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -42,8 +45,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="loanframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _local_roots:
+            _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="loanframe-")
+        root = _local_roots[context.applicationId]
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
