@@ -8,6 +8,8 @@ from loanframe.checks.sqltext import r, rounded, with_standins
 from loanframe.functions import scalar, text
 from loanframe.operators import sampling
 from loanframe.plans import loans
+from loanframe.session import scratch_path
+from loanframe.sources import tables
 from loanframe.standins import standin
 
 QUERIES = {}
@@ -92,6 +94,42 @@ FROM combined WHERE "Amount Requested" IS NOT NULL AND "Debt-To-Income Ratio" IS
 )
 
 
+@query
+def row_counts(spark, sf):
+    """Rows of the combined history, complete rows, and what the others lack."""
+    return loans.coverage(loans.align_union(*_history(spark, sf)))
+
+
+ORACLE["row_counts"] = with_standins(
+    ["accepted", "rejected"],
+    f"""WITH {COMBINED} SELECT CAST(count(*) AS BIGINT) AS rows,
+CAST(count(*) FILTER ("Amount Requested" IS NOT NULL AND "Debt-To-Income Ratio" IS NOT NULL)
+  AS BIGINT) AS remaining,
+CAST(count(*) - count("Amount Requested") AS BIGINT) AS "missing Amount Requested",
+CAST(count(*) - count("Debt-To-Income Ratio") AS BIGINT) AS "missing Debt-To-Income Ratio",
+CAST(0 AS BIGINT) AS "missing accepted_or_rejected" FROM combined""",
+)
+
+
+@query
+def form_file(spark, sf):
+    """The form table as CSV: written, its header read, a subset of its columns read back."""
+    path = scratch_path(spark, "form")
+    form = loans.form_table(standin(spark, sf, "accepted"))
+    tables.write_csv(form, path)
+    kinds = dict(form.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in tables.header(spark, path))
+    df = tables.read_csv(spark, path, schema, ["emp_title", "`Employment Length`", "purpose", "term"])
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLE["form_file"] = with_standins(
+    ["accepted"],
+    """SELECT emp_title, emp_length AS "Employment Length", purpose, term,
+CAST(count(*) AS BIGINT) AS n FROM accepted GROUP BY ALL""",
+)
+
+
 @query
 def form_rows(spark, sf):
     form = loans.form_table(standin(spark, sf, "accepted"))

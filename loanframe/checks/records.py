@@ -403,6 +403,26 @@ SELECT app_id, concat_ws(chr(10), '# Loan report', '- Application: ' || app_id,
 )
 
 
+@query
+def report_store(spark, sf):
+    """Reports appended to their table in two runs and counted."""
+    path = scratch_path(spark, "reports")
+    apps = standin(spark, sf, "application")
+    sheets = apps.select(
+        "app_id", F.concat(F.lit("t"), (F.col("app_id") % 2).cast("string")).alias("ts"),
+        F.concat(F.lit("# Report "), F.col("app_id").cast("string")).alias("markdown"),
+    )
+    sinks.append_reports(sheets.where("ts = 't0'"), path)
+    sinks.append_reports(sheets.where("ts = 't1'"), path)
+    return spark.read.parquet(path)
+
+
+ORACLE["report_store"] = with_standins(
+    ["application"],
+    "SELECT app_id, 't' || app_id % 2 AS ts, '# Report ' || app_id AS markdown FROM application",
+)
+
+
 @query
 def request_table(spark, sf):
     apps = standin(spark, sf, "application")

@@ -48,6 +48,7 @@ NUMERIC = [
     "num_actv_bc_tl", "pub_rec_bankruptcies", "term",
 ]
 LABEL = "accepted_or_rejected"
+REQUIRED = ["Amount Requested", "Debt-To-Income Ratio", LABEL]
 
 
 def keep_existing(df: DataFrame, names: list[str]) -> DataFrame:
@@ -85,8 +86,21 @@ def mark_rejected(combined: DataFrame) -> DataFrame:
 
 def drop_incomplete(df: DataFrame, required: list[str] | None = None) -> DataFrame:
     """Drop rows with a null in a required column that the table has."""
-    wanted = required or ["Amount Requested", "Debt-To-Income Ratio", LABEL]
-    return df.na.drop(subset=[c for c in wanted if c in df.columns])
+    return df.na.drop(subset=[c for c in required or REQUIRED if c in df.columns])
+
+
+def coverage(df: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """Rows, complete rows and nulls per required column, in one pass."""
+    wanted = [c for c in required or REQUIRED if c in df.columns]
+    missing = {c: F.col(f"`{c}`").isNull() for c in wanted}
+    complete = F.lit(True)
+    for absent in missing.values():
+        complete = complete & ~absent
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(complete, 1)).alias("remaining"),
+        *[F.count(F.when(absent, 1)).alias(f"missing {c}") for c, absent in missing.items()],
+    )
 
 
 def parse_form(df: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanframe.functions.cohort import cohort_hint, cohort_sentence
 from loanframe.operators.topk import cosine_topk
+from loanframe.plans.statements import features
 from loanframe.schemas import FLAGS
+from loanframe.sources.statements import read_statements
+from loanframe.sources.tables import write_table
 
 # Thresholds of the four rules, and the guard against division by zero.
 INCOME_STD_BELOW = 0.1
@@ -18,7 +21,7 @@ TOP_SHARE_ABOVE = 0.4
 GUARD = 1e-6
 
 
-def rule_flags(features: DataFrame) -> DataFrame:
+def rule_flags(metrics: DataFrame) -> DataFrame:
     """Add the four 0/1 flags; a null metric gives 0."""
     rules = {
         "income_stability": F.col("income_std") / (F.col("income_mean") + GUARD) < INCOME_STD_BELOW,
@@ -27,11 +30,23 @@ def rule_flags(features: DataFrame) -> DataFrame:
         "savings_habit": F.col("savings_rate_mean") > SAVINGS_RATE_ABOVE,
         "category_concentration_risk": F.col("top_category_share") > TOP_SHARE_ABOVE,
     }
-    return features.withColumns(
+    return metrics.withColumns(
         {name: F.coalesce(rule, F.lit(False)).cast("int") for name, rule in rules.items()}
     )
 
 
+def build_profiles(
+    spark: SparkSession, root: str, out: str, users: tuple[int, int] | None = None
+) -> int:
+    """Features and flags of every user with both statements under ``root``, stored at ``out``.
+
+    Returns the number of users stored. The map of shares is kept, as the table is parquet.
+    """
+    write_table(rule_flags(features(*read_statements(spark, root, users))), out)
+    # Counted from the footers of the files just written.
+    return spark.read.parquet(out).count()
+
+
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ("user_id", *FLAGS)) -> list[str]:
     return [
         f.name
@@ -100,14 +115,14 @@ def cohort_priors(nearest: DataFrame, corpus: DataFrame, exemplars: int = 2) ->
 
 
 def cohort(
-    features: DataFrame,
+    users: DataFrame,
     corpus: DataFrame,
     k: int = 10,
     exemplars: int = 2,
     exclude_self: bool = False,
 ) -> DataFrame:
     """Neighbour means, examples and the sentence drawn from them, one row per user."""
-    nearest = neighbours(features, corpus, k, exclude_self)
+    nearest = neighbours(users, corpus, k, exclude_self)
     return cohort_priors(nearest, corpus, exemplars).withColumns(
         {"cohort_conclusion": cohort_sentence(), "cohort_hint": cohort_hint()}
     )

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loanframe import schemas
-from loanframe.plans import cases, records, statements
+from loanframe.plans import cases, profiles, records, statements
 from loanframe.sources import cases as store
 from loanframe.sources import records as sinks
 from loanframe.sources import statements as files
@@ -135,3 +135,11 @@ def test_history_ledger_responses_reports(spark, tmp_path):
 def test_schemas_parse(spark):
     for ddl in (schemas.BANK, schemas.CARD, schemas.APPLICATION, schemas.ACCEPTED, schemas.REJECTED, schemas.LEDGER):
         assert spark.createDataFrame([], ddl).columns
+
+
+def test_build_profiles_counts_saved_users(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_users(tmp_path / "in", [1, 2, 3], [2, 3, 4])
+    assert profiles.build_profiles(spark, str(tmp_path / "in"), str(tmp_path / "out")) == 2
+    table = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["user_id"] for r in table.collect()) == [2, 3] and "savings_habit" in table.columns
