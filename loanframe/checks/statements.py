@@ -213,6 +213,27 @@ ORACLE["last3_share_map"] = with_standins(
 )
 
 
+@query
+def periods_with_spend(spark, sf):
+    bank, card = _pair(spark, sf)
+    dense = statements.dense_calendar(statements.period_rollup(bank, GRAIN, keep_top=3), GRAIN)
+    df = statements.join_periods(dense, statements.category_spend(card, GRAIN))
+    names = ["total_card_spend", "net_savings", "savings_rate", "cc_payment_ratio"]
+    return _round_all(df, names).select("user_id", "period", "t", "overdraft", *names)
+
+
+ORACLE["periods_with_spend"] = with_standins(
+    ["bank", "card"],
+    f"""WITH {ROLLUP}, {RANKED}, {CALENDAR}, {SPEND},
+totals AS (SELECT DISTINCT user_id, period, total FROM spend)
+SELECT user_id, period, t, CAST(balance < 0 AS INT) AS overdraft,
+{r('coalesce(total, 0)')} AS total_card_spend, {r('income - expense')} AS net_savings,
+{r('coalesce((income - expense) / nullif(income, 0), 0)')} AS savings_rate,
+{r('card_payment / nullif(total, 0)')} AS cc_payment_ratio
+FROM dense LEFT JOIN totals USING (user_id, period)""",
+)
+
+
 # --- features and flags --------------------------------------------------------------------------
 
 

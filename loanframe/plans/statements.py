@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from loanframe.functions.periods import period, periods_between, step
 from loanframe.operators.prefix import running_sums
 
-# The text that marks a card payment, and the non-essential categories.
+# The text that marks a card payment, the non-essential categories, and how many card
+# periods count as recent.
 CARD_PAYMENT = "credit card payment"
 DISCRETIONARY = ["Entertainment", "Travel", "Dining"]
+RECENT = 3
 
 def by_user() -> WindowSpec:
     return W.partitionBy("user_id")
@@ -107,7 +109,26 @@ def category_spend(card: DataFrame, grain: str = "month") -> DataFrame:
     )
 
 
-def last_shares(spend: DataFrame, n: int = 3) -> DataFrame:
+def join_periods(dense: DataFrame, spend: DataFrame) -> DataFrame:
+    """The period table: calendar rows with card spend, net savings and their ratios.
+
+    Periods without card spend have a total of 0 and no payment ratio; a period without income has a
+    savings rate of 0.
+    """
+    totals = spend.groupBy("user_id", "period").agg(F.sum("amount").alias("total_card_spend"))
+    joined = dense.join(totals, ["user_id", "period"], "left").na.fill(0, ["total_card_spend"])
+    net = F.col("income") - F.col("expense")
+    return joined.withColumns(
+        {
+            "net_savings": net,
+            "savings_rate": F.coalesce(F.try_divide(net, F.col("income")), F.lit(0.0)),
+            "overdraft": F.coalesce(F.col("balance") < 0, F.lit(False)).cast("int"),
+            "cc_payment_ratio": F.try_divide("card_payment", "total_card_spend"),
+        }
+    )
+
+
+def last_shares(spend: DataFrame, n: int = RECENT) -> DataFrame:
     """Mean share per category over the user's last ``n`` card periods, absent ones counting as 0."""
     recent = F.dense_rank().over(by_user().orderBy(F.col("period").desc())) <= n
     first = F.row_number().over(W.partitionBy("user_id", "period").orderBy("category")) == 1
@@ -196,20 +217,18 @@ def features(
     is_card = F.col("category").isNotNull()
     by_period = W.partitionBy("user_id", "period")
     rank = F.row_number().over(by_user().orderBy(is_bank.desc(), F.col("n").desc(), "period"))
-    age = F.dense_rank().over(
-        by_user().orderBy(is_bank.desc(), F.col("period").desc())
-    )
-    bank_ages = F.count(F.when(is_bank, 1)).over(by_user())
+    # The windows below need two sorts: one by rows per period, one by period and category.
+    first = F.row_number().over(by_period.orderBy(F.asc_nulls_last("category"))) == 1
     cells = (
         cells.withColumn("kept", is_bank & (rank <= keep_top))
-        .withColumn("recent", is_card & (age - bank_ages <= 3))
         .withColumn("lo", F.min(F.when(F.col("kept"), F.col("period"))).over(by_user()))
         .withColumn("hi", F.max(F.when(F.col("kept"), F.col("period"))).over(by_user()))
         .where(F.col("lo").isNotNull())
+        .withColumn("opens", is_card & first)
         .withColumn("total", F.sum("amount").over(by_period))
-        .withColumn(
-            "opens", is_card & (F.row_number().over(by_period.orderBy(F.asc_nulls_last("category"))) == 1)
-        )
+        .withColumn("card_period", F.count(F.when(F.col("opens"), 1)).over(by_user().orderBy("period")))
+        .withColumn("card_periods", F.count(F.when(F.col("opens"), 1)).over(by_user()))
+        .withColumn("recent", is_card & (F.col("card_periods") - F.col("card_period") < RECENT))
         .withColumn("in_range", is_card & F.col("period").between(F.col("lo"), F.col("hi")))
         .withColumn("share", F.try_divide("amount", "total"))
     )
