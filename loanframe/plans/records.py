@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loanframe.functions import scalar
 from loanframe.functions.responses import field, lenient_json
-from loanframe.operators.prefix import running_sums
+from loanframe.operators.prefix import CHUNK_BITS, running_sums
 from loanframe.schemas import FEATURES, FLAGS
 
 # Answers a step may give, the criteria of a retrieval check, and the flow's limit.
@@ -220,8 +220,7 @@ def ledger(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     levels = [
         ("__day", F.col("timestamp").cast("date")),
         ("__second", F.date_trunc("second", F.col("timestamp"))),
-        ("__time", F.col("timestamp")),
-        ("__part", F.shiftright(F.col("call_id"), 16)),
+        ("__chunk", F.struct("timestamp", F.shiftright(F.col("call_id"), CHUNK_BITS).alias("part"))),
     ]
     return running_sums(
         priced,
