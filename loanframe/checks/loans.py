@@ -119,8 +119,8 @@ def form_file(spark, sf):
     tables.write_csv(form, path)
     kinds = dict(form.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in tables.header(spark, path))
-    df = tables.read_csv(spark, path, schema, ["emp_title", "`Employment Length`", "purpose", "term"])
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n"))
+    df = tables.read_csv(spark, path, schema, ["emp_title", "Employment Length", "purpose", "term"])
+    return df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
 
 
 ORACLE["form_file"] = with_standins(
@@ -464,19 +464,21 @@ SELECT user_id, strftime(due, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS par
 
 @query
 def merchant_lookup(spark, sf):
-    merchants = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey < 20").select(
+    merchants = spark.read.parquet(f"{sf}/nation.parquet").select(
         F.col("n_name").alias("business_name"),
         F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("known"),
     )
+    # Shifted by three, so that some customers name a merchant the table lacks.
+    name = F.concat(F.lit("NATION_"), (F.col("c_nationkey") + 3).cast("string"))
     customers = spark.read.parquet(f"{sf}/customer.parquet").select(
-        "c_custkey", F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("business_name")
+        "c_custkey", name.alias("business_name")
     )
     return loans.merchant_category(customers, merchants, fallback="Home")
 
 
-ORACLE["merchant_lookup"] = """SELECT c_custkey, 'NATION_' || c_nationkey AS business_name,
+ORACLE["merchant_lookup"] = """SELECT c_custkey, 'NATION_' || (c_nationkey + 3) AS business_name,
 coalesce('R' || n_regionkey, 'Home') AS category
-FROM customer LEFT JOIN nation ON n_name = 'NATION_' || c_nationkey AND n_nationkey < 20"""
+FROM customer LEFT JOIN nation ON n_name = 'NATION_' || (c_nationkey + 3)"""
 
 
 @query

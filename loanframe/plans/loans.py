@@ -104,14 +104,20 @@ def coverage(df: DataFrame, required: list[str] | None = None) -> DataFrame:
 
 
 def parse_form(df: DataFrame) -> DataFrame:
-    """Employment length, term and rate as numbers."""
-    parsed = {
-        "Employment Length": scalar.parse_emp_length(F.col("`Employment Length`")),
-        "term": scalar.parse_term(F.col("term")).cast("double"),
+    """Employment length, term and rate as numbers; columns that are numbers stay as they are."""
+    parsers = {
+        "Employment Length": scalar.parse_emp_length,
+        "term": scalar.parse_term,
+        "int_rate": scalar.parse_rate,
     }
-    if "int_rate" in df.columns:
-        parsed["int_rate"] = scalar.parse_rate(F.col("int_rate"))
-    return df.withColumns(parsed)
+    numbers = numeric_columns(df, list(parsers))
+    return df.withColumns(
+        {
+            name: (F.col(f"`{name}`") if name in numbers else parse(F.col(f"`{name}`"))).cast("double")
+            for name, parse in parsers.items()
+            if name in df.columns
+        }
+    )
 
 
 def clean_application(df: DataFrame, dti_mode: str = "percent_monthly") -> DataFrame:

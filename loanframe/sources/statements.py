@@ -39,6 +39,8 @@ def _scan(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFram
     rows = (
         spark.read.option("header", True)
         .option("escape", '"')
+        # A file whose header differs from the layout is an error, not a shifted column.
+        .option("enforceSchema", False)
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .schema(schema)

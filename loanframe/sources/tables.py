@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -10,20 +12,28 @@ CORRUPT = "_corrupt_record"
 def read_csv(
     spark: SparkSession, path: str, schema: str, columns: list[str] | None = None
 ) -> DataFrame:
-    """A partitioned CSV scan; columns are matched by position to the declared schema.
+    """A partitioned CSV scan with declared types; columns are matched by their header name.
 
-    Rows that do not fit keep their text in ``_corrupt_record`` when that column is asked for.
+    Columns the schema does not name are text and are only read when asked for; columns the file
+    lacks are null. Rows that do not fit keep their text in ``_corrupt_record`` when it is asked for.
     """
+    declared = StructType.fromDDL(schema)
+    kinds = {f.name: f.dataType for f in declared.fields}
+    names = header(spark, path)
+    layout = StructType([StructField(n, kinds.get(n, StringType())) for n in names])
     df = (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("quote", '"')
         .option("escape", '"')
-        .schema(f"{schema}, {CORRUPT} STRING")
+        .schema(layout.add(CORRUPT, StringType()))
         .csv(path)
     )
-    return df.select(*columns) if columns else df.drop(CORRUPT)
+    absent = {n: F.lit(None).cast(kind) for n, kind in kinds.items() if n not in names}
+    df = df.withColumns(absent) if absent else df
+    wanted = columns or list(kinds)
+    return df.select(*[F.col(f"`{n}`") for n in wanted])
 
 
 def header(spark: SparkSession, path: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -71,7 +72,7 @@ def main(names: list[str]) -> int:
         spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("COMPARE_SF_DIR", "/root/testdata/sf0.01")
     connection = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = 0

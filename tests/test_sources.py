@@ -64,6 +64,22 @@ def test_csv_scan_keeps_bad_rows_aside_and_header_reads_names(spark, tmp_path):
     assert tables.read_csv(spark, str(path), "a INT, b STRING").columns == ["a", "b"]
 
 
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    path.write_text("z,b,a,q\n9,x,1,8\n")
+    row = tables.read_csv(spark, str(path), "a INT, b STRING, c DOUBLE").first()
+    assert (row["a"], row["b"], row["c"]) == (1, "x", None)
+    assert tables.read_csv(spark, str(path), "a INT", ["q", "a"]).first().asDict() == {"q": "8", "a": 1}
+
+
+def test_statement_file_with_another_layout_is_refused(spark, tmp_path):
+    write_users(tmp_path, [1], [1])
+    (tmp_path / "bank_user_0001.csv").write_text("date,expense,income,balance,description\n2023-01-01,1,2,3,x\n")
+    bank, _ = files.read_statements(spark, str(tmp_path))
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        bank.collect()
+
+
 def test_csv_sink_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'q "x", y'), (2, None)], "a int, b string")
     tables.write_csv(df, str(tmp_path / "out"))
