@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loanframe.llm import line_dedup
+from loanframe.llm import html_extract, license_scan, line_dedup, mixing, order_minhash, toxicity
 
-PARTS = (line_dedup,)
+PARTS = (mixing, line_dedup, license_scan, toxicity, html_extract, order_minhash)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}

@@ -110,3 +110,9 @@ def pieces(texts, limit: int = 1 << 23):
         size += n
     if begin < len(texts):
         yield slice(begin, len(texts))
+
+
+def hash_stretches(w: Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of any byte stretches of the joined texts, comparable with those of words."""
+    raw = np.frombuffer(w.data, dtype=np.uint8)
+    return _stretches(raw.astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
