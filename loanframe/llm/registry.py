@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from loanframe.llm import html_extract, license_scan, line_dedup, mixing, order_minhash, toxicity
+from loanframe.llm import (
+    html_extract,
+    license_scan,
+    line_dedup,
+    mixing,
+    ngram_join,
+    order_minhash,
+    passage_dedup,
+    toxicity,
+    vector_dedup,
+)
 
-PARTS = (mixing, line_dedup, license_scan, toxicity, html_extract, order_minhash)
+PARTS = (
+    mixing, passage_dedup, line_dedup, vector_dedup, license_scan, toxicity, ngram_join, html_extract,
+    order_minhash,
+)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
