@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -48,52 +49,63 @@ def _anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np
     return at, runs[at]
 
 
+def _encoded(text) -> bytes:
+    return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def _name(joined: bytes) -> int:
+    """64 bits that name a word sequence."""
+    return int.from_bytes(hashlib.md5(joined).digest()[:8], "big", signed=True)
+
+
 def _read(window: int, size: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for part in pieces(batch.text):
                 w = words(batch.text.iloc[part])
-                counts, marks, anchors = [], [], []
-                for i in range(part.stop - part.start):
-                    span = w.of(i)
-                    joined = b" ".join(w.word(k) for k in range(span.start, span.stop))
-                    counts.append(span.stop - span.start)
-                    marks.append(hashlib.md5(joined).digest())
-                    anchors.append(np.unique(_anchors(w.hashes[span], window, size)[1]).view(np.int64))
-                yield pd.DataFrame({"doc_id": batch.doc_id.iloc[part].to_numpy(), "mark": marks, "n_words": counts, "anchors": anchors})
+                # split() of bytes parts at just the blanks of the words.
+                names = [_name(b" ".join(_encoded(t).split())) for t in batch.text.iloc[part]]
+                found = [np.unique(_anchors(w.hashes[w.of(i)], window, size)[1]).view(np.int64) for i in range(len(names))]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch.doc_id.iloc[part].to_numpy(), "name": names,
+                        "n_words": np.diff(w.first), "anchors": found,
+                    }
+                )
 
     return read
 
 
-def _edges(window: int, size: int):
+def _edges(window: int, size: int, nodes: bool):
+    """All windows around the shared anchors of a text: edge, document, position, and its nodes."""
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All windows around the shared anchors of a text: (doc_id, mark, pos, edge, head, tail)."""
         for batch in batches:
-            w = words(batch.text)
-            for i in range(len(batch)):
-                hashes = w.hashes[w.of(i)]
-                edges = grams(hashes, window)
-                at, found = _anchors(hashes, window, size)
-                shared = np.asarray(batch.anchors.iloc[i], np.int64).view(np.uint64)
-                at = at[np.isin(found, shared)]
-                if not len(at):
-                    continue
-                # Windows that hold the anchor, as a running count of beginnings and ends.
-                steps = np.zeros(len(edges) + 1, np.int64)
-                np.add.at(steps, np.maximum(at - (window - size), 0), 1)
-                np.add.at(steps, np.minimum(at, len(edges) - 1) + 1, -1)
-                pos = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
-                nodes = grams(hashes, window - 1)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": np.full(len(pos), batch.doc_id.iloc[i]),
-                        "mark": [batch.mark.iloc[i]] * len(pos),
-                        "pos": pos,
-                        "edge": edges[pos].view(np.int64),
-                        "head": nodes[pos].view(np.int64),
-                        "tail": nodes[pos + 1].view(np.int64),
-                    }
-                )
+            for part in pieces(batch.text):
+                rows = batch.iloc[part]
+                w = words(rows.text)
+                out = []
+                for i in range(len(rows)):
+                    hashes = w.hashes[w.of(i)]
+                    at, found = _anchors(hashes, window, size)
+                    at = at[np.isin(found, np.asarray(rows.anchors.iloc[i], np.int64).view(np.uint64))]
+                    edges = grams(hashes, window)
+                    # Windows that hold an anchor, as a running count of beginnings and ends.
+                    steps = np.zeros(len(edges) + 1, np.int64)
+                    np.add.at(steps, np.maximum(at - (window - size), 0), 1)
+                    np.add.at(steps, np.minimum(at, len(edges) - 1) + 1, -1)
+                    pos = np.flatnonzero(np.cumsum(steps[:-1]) > 0)
+                    ends = grams(hashes, window - 1) if nodes else np.empty(0, np.uint64)
+                    out.append((i, pos, edges[pos], *((ends[pos], ends[pos + 1]) if nodes else ())))
+                many = [len(o[1]) for o in out]
+                frame = {
+                    "doc_id": np.repeat(rows.doc_id.to_numpy(), many),
+                    "name": np.repeat(rows["name"].to_numpy(), many),
+                    "pos": np.concatenate([o[1] for o in out]).astype(np.int64),
+                }
+                for k, column in enumerate(["edge", "head", "tail"][: 3 if nodes else 1]):
+                    frame[column] = np.concatenate([o[2 + k] for o in out]).view(np.int64)
+                yield pd.DataFrame(frame)
 
     return read
 
@@ -101,82 +113,77 @@ def _edges(window: int, size: int):
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(span, side, digest) of the words of each asked stretch."""
     for batch in batches:
-        w = words(batch.text, hashed=False)
         spans, sides, digests = [], [], []
-        for i, asked in enumerate(batch.asked):
-            first = int(w.first[i])
+        for text, asked in zip(batch.text, batch.asked):
+            own = _encoded(text).split()
             for a in asked:
-                lo = first + a["start"]
-                joined = b" ".join(w.word(k) for k in range(lo, min(lo + a["length"], int(w.first[i + 1]))))
                 spans.append(a["span"])
                 sides.append(a["side"])
-                digests.append(hashlib.md5(joined).digest())
+                digests.append(hashlib.md5(b" ".join(own[a["start"] : a["start"] + a["length"]])).digest())
         yield pd.DataFrame({"span": spans, "side": np.array(sides, np.int32), "digest": digests})
 
 
 def _kept(texts: pd.Series, spans: pd.Series, whole: pd.Series) -> pd.DataFrame:
     """Words, removed words and the text that is left, for each row."""
     counts, removed, kept = [], [], []
-    for part in pieces(texts):
-        w = words(texts.iloc[part], hashed=False)
-        for i in range(part.stop - part.start):
-            lo, hi = int(w.first[i]), int(w.first[i + 1])
-            stays = np.ones(hi - lo, bool)
-            if whole.iloc[part.start + i]:
-                stays[:] = False
-            for s in spans.iloc[part.start + i] if spans.iloc[part.start + i] is not None else ():
+    for text, cut, every in zip(texts, spans, whole):
+        own = _encoded(text).split()
+        left = own
+        if every:
+            left = []
+        elif cut is not None:
+            stays = np.ones(len(own), bool)
+            for s in cut:
                 stays[s["start"] : s["start"] + s["length"]] = False
-            counts.append(hi - lo)
-            removed.append(int((~stays).sum()))
-            left = b" ".join(w.word(k) for k in lo + np.flatnonzero(stays))
-            kept.append(left.decode("utf-8", "surrogatepass"))
+            left = list(compress(own, stays.tolist()))
+        counts.append(len(own))
+        removed.append(len(own) - len(left))
+        kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
     return pd.DataFrame({"n_words": counts, "n_removed": removed, "kept_text": kept})
 
 
 def texts_of(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, mark, n_words, anchors) of every row with an id: the mark names the word sequence."""
+    """(doc_id, name, n_words, anchors) of every row with an id: the name stands for the word sequence."""
     return landed(
         docs.where("doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .mapInPandas(_read(window, anchor), "doc_id bigint, mark binary, n_words bigint, anchors array<bigint>"),
+        .mapInPandas(_read(window, anchor), "doc_id bigint, name bigint, n_words bigint, anchors array<bigint>"),
         "passage-texts",
     )
 
 
 def shared_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Compacted repeated paths: (doc_id, mark, start, length, source_doc, source_mark, source_start).
+    """Compacted repeated paths: (doc_id, name, start, length, source_doc, source_name, source_start).
 
     Each span lies in a document larger than its source; length counts words. Only the smallest
     document of equal texts takes part.
     """
-    first = texts.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    distinct = texts.where(f"n_words >= {window}").select("doc_id", "mark", "anchors").join(
-        first, ["mark", "doc_id"], "left_semi"
-    ).dropDuplicates(["mark", "doc_id"])
-    rows = landed(distinct.select("doc_id", "mark", F.explode("anchors").alias("anchor")), "passage-anchors")
-    shared = rows.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b")
+    first = texts.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    distinct = texts.where(f"n_words >= {window}").select("doc_id", "name", "anchors").join(
+        first, ["name", "doc_id"], "left_semi"
+    ).dropDuplicates(["name", "doc_id"])
+    rows = landed(distinct.select("doc_id", "name", F.explode("anchors").alias("anchor")), "passage-anchors")
+    shared = rows.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     asked = (
         rows.join(shared.select("anchor"), "anchor", "left_semi")
-        .groupBy("doc_id", "mark").agg(F.collect_set("anchor").alias("anchors"))
-    )
-    # md5 of the words again, to tell rows that repeat a doc_id apart.
-    near = landed(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").dropDuplicates(["doc_id", "text"])
-        .join(asked, "doc_id")
-        if _repeats(docs)
-        else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(asked, "doc_id"),
-        "passage-near",
+        .groupBy("doc_id", "name").agg(F.collect_set("anchor").alias("anchors"))
     )
-    edges = landed(
-        near.mapInPandas(
-            _edges(window, anchor), "doc_id bigint, mark binary, pos bigint, edge bigint, head bigint, tail bigint"
-        ),
-        "passage-edges",
-    )
-    source = F.min(F.struct("doc_id", "pos", "mark")).alias("source")
+    sources = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if _repeats(docs):
+        sources = sources.withColumn("name", _name_of("text")).dropDuplicates(["doc_id", "name"])
+        near = sources.join(asked, ["doc_id", "name"])
+    else:
+        near = sources.join(asked, "doc_id")
+    near = landed(near.select("doc_id", "name", "text", "anchors"), "passage-near")
+    columns = "doc_id bigint, name bigint, pos bigint, edge bigint"
+    # Windows are made twice from these few texts rather than kept: they take more room than the texts.
+    edges = near.mapInPandas(_edges(window, anchor, nodes=False), columns)
+    nodes = near.mapInPandas(_edges(window, anchor, nodes=True), f"{columns}, head bigint, tail bigint")
     repeated = landed(
-        edges.groupBy("edge", "head", "tail").agg(source, F.max("doc_id").alias("last"))
-        .where("source.doc_id < last").drop("last"),
+        nodes.groupBy("edge")
+        .agg(F.min(F.struct("doc_id", "pos", "name", "head", "tail")).alias("source"), F.max("doc_id").alias("last"))
+        .where("source.doc_id < last")
+        .select("edge", "source.head", "source.tail", F.struct("source.doc_id", "source.pos", "source.name").alias("source")),
         "passage-repeated",
     )
     # A node is passed straight if one repeated edge enters it and one leaves it.
@@ -187,32 +194,32 @@ def shared_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor
         .where("enters <> 1 OR leaves <> 1")
         .select(F.col("node").alias("head"), F.lit(True).alias("forks"))
     )
-    graph = repeated.join(degrees, "head", "left").select("edge", "head", "tail", "source", "forks")
-    covered = edges.join(graph, ["edge", "head", "tail"]).where("doc_id > source.doc_id")
-    order = W.partitionBy("doc_id", "mark").orderBy("pos")
+    graph = repeated.join(degrees, "head", "left").select("edge", "source", "forks")
+    covered = edges.join(graph, "edge").where("doc_id > source.doc_id")
+    order = W.partitionBy("doc_id", "name").orderBy("pos")
     before = lambda c: F.lag(c).over(order)
     goes_on = (
         (before("pos") == F.col("pos") - 1)
         & (before("source.doc_id") == F.col("source.doc_id"))
-        & (before("source.mark") == F.col("source.mark"))
+        & (before("source.name") == F.col("source.name"))
         & (before("source.pos") == F.col("source.pos") - 1)
         & F.col("forks").isNull()
     )
     path = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(order)
     spans = (
         covered.withColumn("path", path)
-        .groupBy("doc_id", "mark", "path")
+        .groupBy("doc_id", "name", "path")
         .agg(
             F.min("pos").alias("start"),
             (F.count("*") + window - 1).alias("length"),
             F.min("source").alias("source"),
         )
         .select(
-            "doc_id", "mark", "start", "length",
-            F.col("source.doc_id").alias("source_doc"), F.col("source.mark").alias("source_mark"),
+            "doc_id", "name", "start", "length",
+            F.col("source.doc_id").alias("source_doc"), F.col("source.name").alias("source_name"),
             F.col("source.pos").alias("source_start"),
         )
-        .withColumn("span", F.xxhash64("doc_id", "mark", "start"))
+        .withColumn("span", F.xxhash64("doc_id", "name", "start"))
     )
     return _verified(landed(spans, "passage-spans"), near)
 
@@ -225,31 +232,31 @@ def _repeats(docs: DataFrame) -> bool:
 
 def _verified(spans: DataFrame, near: DataFrame) -> DataFrame:
     """Spans whose words equal those at their source."""
-    own = spans.select("doc_id", "mark", F.struct("span", F.lit(0).alias("side"), "start", "length").alias("a"))
+    own = spans.select("doc_id", "name", F.struct("span", F.lit(0).alias("side"), "start", "length").alias("a"))
     theirs = spans.select(
-        F.col("source_doc").alias("doc_id"), F.col("source_mark").alias("mark"),
+        F.col("source_doc").alias("doc_id"), F.col("source_name").alias("name"),
         F.struct("span", F.lit(1).alias("side"), F.col("source_start").alias("start"), "length").alias("a"),
     )
     # A source may be asked for by very many spans: distinct stretches first.
-    stretches = theirs.groupBy("doc_id", "mark", "a.start", "a.length").agg(F.min("a.span").alias("span"))
+    stretches = theirs.groupBy("doc_id", "name", "a.start", "a.length").agg(F.min("a.span").alias("span"))
     named = stretches.select(
-        "doc_id", "mark", F.struct("span", F.lit(1).alias("side"), "start", "length").alias("a")
+        "doc_id", "name", F.struct("span", F.lit(1).alias("side"), "start", "length").alias("a")
     )
-    asked = own.union(named).groupBy("doc_id", "mark").agg(F.collect_list("a").alias("asked"))
+    asked = own.union(named).groupBy("doc_id", "name").agg(F.collect_list("a").alias("asked"))
     digests = landed(
-        near.select("doc_id", "mark", "text").join(asked, ["doc_id", "mark"])
+        near.select("doc_id", "name", "text").join(asked, ["doc_id", "name"])
         .select("text", "asked").mapInPandas(_digests, "span bigint, side int, digest binary"),
         "passage-digests",
     )
     at_source = (
         stretches.join(digests.where("side = 1").select("span", F.col("digest").alias("source_digest")), "span")
-        .select(F.col("doc_id").alias("source_doc"), F.col("mark").alias("source_mark"),
+        .select(F.col("doc_id").alias("source_doc"), F.col("name").alias("source_name"),
                 F.col("start").alias("source_start"), "length", "source_digest")
-        .dropDuplicates(["source_doc", "source_mark", "source_start", "length"])
+        .dropDuplicates(["source_doc", "source_name", "source_start", "length"])
     )
     return (
         spans.join(digests.where("side = 0").select("span", "digest").dropDuplicates(["span"]), "span")
-        .join(at_source, ["source_doc", "source_mark", "source_start", "length"])
+        .join(at_source, ["source_doc", "source_name", "source_start", "length"])
         .where("digest = source_digest").drop("digest", "source_digest", "span")
     )
 
@@ -258,22 +265,22 @@ def remove_shared(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     """All columns of ``docs`` with ``n_words``, ``n_removed``, ``kept_text`` and the spans."""
     texts = texts_of(docs.select("doc_id", "text"), window, anchor)
     spans = shared_spans(docs.select("doc_id", "text"), texts, window, anchor)
-    first = texts.groupBy("mark").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("texts"))
+    first = texts.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("texts"))
     copies = (
-        texts.where(f"n_words >= {window}").select("doc_id", "mark").join(first.where("texts > 1"), "mark")
-        .where("doc_id > first_doc").select("doc_id", "mark", F.lit(True).alias("copied"))
+        texts.where(f"n_words >= {window}").select("doc_id", "name").join(first.where("texts > 1"), "name")
+        .where("doc_id > first_doc").select("doc_id", "name", F.lit(True).alias("copied"))
     )
-    found = spans.groupBy("doc_id", "mark").agg(
+    found = spans.groupBy("doc_id", "name").agg(
         F.sort_array(F.collect_list(F.struct("start", "length", "source_doc", "source_start"))).alias("spans")
     )
-    # One row per text to change. Rows that repeat an id find theirs by the mark.
-    changes = copies.join(found, ["doc_id", "mark"], "full").dropDuplicates(["doc_id", "mark"]).select(
-        F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "copied", "spans"
+    # One row per text to change. Rows that repeat an id find theirs by the name.
+    changes = copies.join(found, ["doc_id", "name"], "full").dropDuplicates(["doc_id", "name"]).select(
+        F.col("doc_id").alias("__doc"), F.col("name").alias("__name"), "copied", "spans"
     )
     same = F.col("doc_id").cast("bigint") == F.col("__doc")
     if _repeats(docs):
-        docs = docs.withColumn("__own", _mark_of("text"))
-        joined = docs.join(changes, same & (F.col("__own") == F.col("__mark")), "left").drop("__own")
+        docs = docs.withColumn("__own", _name_of("text"))
+        joined = docs.join(changes, same & (F.col("__own") == F.col("__name")), "left").drop("__own")
     else:
         joined = docs.join(changes, same, "left")
     kept = F.pandas_udf(_kept, "n_words bigint, n_removed bigint, kept_text string")
@@ -283,11 +290,12 @@ def remove_shared(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     )
 
 
-def _mark_of(column: str):
-    """The mark of a text in column expressions: md5 of its words, joined by one space."""
-    blanks = r"[\x20\x09-\x0D]+"
-    one = F.regexp_replace(F.coalesce(column, F.lit("")), blanks, " ")
-    return F.unhex(F.md5(F.btrim(one, F.lit(" ")).cast("binary")))
+def _names(texts: pd.Series) -> pd.Series:
+    return pd.Series([_name(b" ".join(_encoded(t).split())) for t in texts], dtype="int64")
+
+
+def _name_of(column: str):
+    return F.pandas_udf(_names, "bigint")(F.col(column))
 
 
 def op2_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,11 @@ def sequence(hashes: np.ndarray) -> np.uint64:
     return _stretches(hashes, np.array([0]), np.array([len(hashes)]), _WORD_BASE)[0]
 
 
-def pieces(texts, limit: int = 1 << 23):
-    """Consecutive slices of a batch holding about ``limit`` characters, one text at least."""
+def pieces(texts, limit: int = 1 << 20):
+    """Consecutive slices of a batch holding about ``limit`` characters, one text at least.
+
+    The arrays of a slice take some 60 bytes a character, so a slice keeps a task small and in cache.
+    """
     begin, size = 0, 0
     for i, t in enumerate(texts):
         n = 0 if t is None else len(t)
