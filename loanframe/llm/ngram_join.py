@@ -42,12 +42,15 @@ PERCENT = 75
 #: Documents of the sample that puts frequent n-grams last.
 SAMPLE_ROWS = 4000
 #: N-grams meant for a fragment, and parts of a set in which overlaps are counted.
-FRAGMENT_ROWS = 1_500_000
+FRAGMENT_ROWS = 750_000
 PARTS = 4
-#: Documents whose answers are put together in one group.
-BUCKET_ROWS = 20_000
+#: Text whose answers are put together in one group.
+BUCKET_BYTES = 1 << 24
 
-PACKED = "grp int, kind int, docs binary, sets binary, sizes binary, grams binary, counts binary"
+#: A piece is some documents of a batch. Per fragment: entries per document and their n-grams (kind 0).
+#: Back: per n-gram that repeats the document's place in the piece, and its count (kind 0). What is known
+#: of the documents of a piece travels along (kind 1).
+PACKED = "grp int, kind int, piece bigint, docs binary, sets binary, sizes binary, grams binary, counts binary"
 
 
 def _set_of(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -71,39 +74,43 @@ def _name(grams_: np.ndarray) -> int:
     return int(sequence(grams_).view(np.int64)) if len(grams_) else 0
 
 
-def _pack(grp, kind, docs=(), sets=(), sizes=(), values=(), counts=()):
+_COLUMNS = ["grp", "kind", "piece", "docs", "sets", "sizes", "grams", "counts"]
+
+
+def _pack(grp, kind, piece, docs=(), sets=(), sizes=(), values=(), counts=()):
     return (
-        grp, kind,
+        grp, kind, piece,
         np.asarray(docs, np.int64).tobytes(), np.asarray(sets, np.int64).tobytes(),
-        np.asarray(sizes, np.int64).tobytes(), np.asarray(values, np.uint64).tobytes(),
-        np.asarray(counts, np.int64).tobytes(),
+        np.asarray(sizes, np.uint32).tobytes(), np.asarray(values, np.uint64).tobytes(),
+        np.asarray(counts, np.uint32).tobytes(),
     )
 
 
-_COLUMNS = ["grp", "kind", "docs", "sets", "sizes", "grams", "counts"]
+def _load(row, name: str) -> np.ndarray:
+    kind = {"docs": np.int64, "sets": np.int64, "grams": np.uint64}.get(name, np.uint32)
+    out = np.frombuffer(getattr(row, name), kind)
+    return out.astype(np.int64) if kind is np.uint32 else out
 
 
 def _read(size: int, frequent, fragments: int, buckets: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each piece of a batch a row per fragment (kind 0) and per bucket of documents (kind 1)."""
+        """For each piece of a batch a row per fragment, and one that goes to its bucket."""
         known = frequent.value
         for batch in batches:
-            for part in pieces(batch.text):
+            for part in pieces(batch.text, 1 << 22):
                 sets = _sets(batch.text.iloc[part], size)
                 docs = batch.doc_id.iloc[part].to_numpy()
                 sizes = np.array([len(s) for s in sets], np.int64)
                 names = np.array([_name(s) for s in sets], np.int64)
-                every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+                every = np.concatenate(sets)
                 owner = np.repeat(np.arange(len(sets)), sizes)
-                usual = np.isin(every, known)
-                rows = []
-                home = docs % buckets
-                for g in np.unique(home):
-                    mine = np.flatnonzero(home == g)
-                    at = usual & (home[owner] == g)
-                    kept = np.bincount(owner[at], minlength=len(sets))[mine]
-                    # sizes of the sets, then of the frequent n-grams that follow
-                    rows.append(_pack(fragments + int(g), 1, docs[mine], names[mine], np.concatenate([sizes[mine], kept]), every[at]))
+                usual = np.zeros(len(every), bool)
+                if len(known):
+                    usual = known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every
+                # The name of a piece follows from its rows: a task that runs again gives the same.
+                piece = _name(np.stack([docs, names]).view(np.uint64).ravel())
+                kept = np.bincount(owner[usual], minlength=len(sets))
+                rows = [_pack(fragments + piece % buckets, 1, piece, docs, names, np.concatenate([sizes, kept]), every[usual])]
                 rare, owner = every[~usual], owner[~usual]
                 where = (rare % np.uint64(fragments)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
@@ -111,39 +118,34 @@ def _read(size: int, frequent, fragments: int, buckets: int):
                 cuts = np.searchsorted(where, np.arange(fragments + 1))
                 for f in np.flatnonzero(np.diff(cuts)):
                     s = slice(cuts[f], cuts[f + 1])
-                    who, n = np.unique(owner[s], return_counts=True)
-                    rows.append(_pack(int(f), 0, docs[who], names[who], n, rare[s]))
+                    rows.append(_pack(int(f), 0, piece, sizes=np.bincount(owner[s], minlength=len(sets)), values=rare[s]))
                 yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return read
 
 
-def _load(row, name: str, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(getattr(row, name), kind)
-
-
 def _count(fragments: int, buckets: int):
     def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Per bucket of documents the n-grams of this fragment that two documents hold, with counts."""
+        """Per piece the n-grams of this fragment that occur again, with counts."""
         if key[0] >= fragments:  # what is known of the documents passes on to their bucket
             return rows.assign(grp=key[0] - fragments)[_COLUMNS]
-        parts = list(rows.itertuples())
-        docs = np.concatenate([np.repeat(_load(r, "docs"), _load(r, "sizes")) for r in parts])
-        names = np.concatenate([np.repeat(_load(r, "sets"), _load(r, "sizes")) for r in parts])
-        values = np.concatenate([_load(r, "grams", np.uint64) for r in parts])
+        parts = [_load(r, "grams") for r in rows.itertuples()]
+        values = np.concatenate(parts)
         order = np.argsort(values, kind="stable")
-        values, docs, names = values[order], docs[order], names[order]
-        begins = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, int)
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(values[order]) != 0)))
         times = np.diff(np.append(begins, len(values)))
-        seen = np.repeat(times, times)
-        keep = seen > 1
-        values, docs, names, seen = values[keep], docs[keep], names[keep], seen[keep]
-        out = []
-        home = docs % buckets
-        for g in np.unique(home):
-            at = np.flatnonzero(home == g)
-            at = at[np.lexsort((names[at], docs[at]))]
-            out.append(_pack(int(g), 0, docs[at], names[at], (), values[at], seen[at]))
+        seen = np.empty(len(values), np.int64)
+        seen[order] = np.repeat(times, times)
+        out, at = [], 0
+        for r, mine in zip(rows.itertuples(), parts):
+            n = seen[at : at + len(mine)]
+            at += len(mine)
+            again = n > 1
+            if again.any():
+                sizes = _load(r, "sizes")
+                place = np.repeat(np.arange(len(sizes)), sizes)[again]
+                counts = np.minimum(n[again], np.iinfo(np.uint32).max - 1)
+                out.append(_pack(r.piece % buckets, 0, r.piece, sizes=place, values=mine[again], counts=counts))
         return pd.DataFrame(out, columns=_COLUMNS)
 
     return count
@@ -152,43 +154,31 @@ def _count(fragments: int, buckets: int):
 def _gather(percent: int):
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """One row per document: its set and, if it may link at all, its repeating n-grams, rare first."""
-        known = [r for r in rows.itertuples() if r.kind == 1]
-        found = [r for r in rows.itertuples() if r.kind == 0]
-        docs = np.concatenate([_load(r, "docs") for r in known])
-        names = np.concatenate([_load(r, "sets") for r in known])
-        sizes = np.concatenate([_load(r, "sizes")[: len(_load(r, "docs"))] for r in known])
-        usual = np.concatenate([_load(r, "sizes")[len(_load(r, "docs")) :] for r in known])
-        common = np.concatenate([_load(r, "grams", np.uint64) for r in known])
-        index = {k: i for i, k in enumerate(zip(docs.tolist(), names.tolist()))}
-        first = np.array([index[k] for k in zip(docs.tolist(), names.tolist())])
-        if found:
-            d = np.concatenate([_load(r, "docs") for r in found])
-            s = np.concatenate([_load(r, "sets") for r in found])
-            values = np.concatenate([_load(r, "grams", np.uint64) for r in found])
-            seen = np.concatenate([_load(r, "counts") for r in found])
-            pairs, back = np.unique(np.stack([d, s]), axis=1, return_inverse=True)
-            owner = np.array([index[k] for k in zip(*pairs.tolist())], np.int64)[back.ravel()]
-        else:
-            values, seen, owner = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        keep = np.repeat(first == np.arange(len(docs)), usual)
-        owner = np.concatenate([owner, np.repeat(np.arange(len(docs)), usual)[keep]])
-        values = np.concatenate([values, common[keep]])
-        seen = np.concatenate([seen, np.full(int(keep.sum()), np.iinfo(np.int64).max)])
-        order = np.lexsort((values, seen, owner))
-        owner, values, seen = owner[order], values[order], seen[order]
-        # Rows that repeat both doc_id and text counted each n-gram several times.
-        once = np.ones(len(values), bool)
-        once[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-        owner, values = owner[once], values[once]
-        cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
-        need = -(-percent * sizes // 100)
         out = []
-        for i, (doc, name, n) in enumerate(zip(docs.tolist(), names.tolist(), sizes.tolist())):
-            mine = values[cuts[first[i]] : cuts[first[i] + 1]]
-            may = n > 0 and len(mine) >= need[i]
-            # N-grams of one document come first in the order and use up the prefix.
-            prefix = len(mine) - int(need[i]) + 1 if may else 0
-            out.append((doc, name, n, mine.view(np.int64) if may else None, mine[:prefix].view(np.int64) if may else None))
+        for _, piece in rows.groupby("piece", sort=True):
+            known = list(piece[piece.kind == 1].itertuples())
+            found = list(piece[piece.kind == 0].itertuples())
+            info = known[0]
+            docs, names = _load(info, "docs"), _load(info, "sets")
+            sizes, usual = np.split(_load(info, "sizes"), 2)
+            owner = np.concatenate([np.repeat(np.arange(len(docs)), usual), *(_load(r, "sizes") for r in found)])
+            values = np.concatenate([_load(info, "grams"), *(_load(r, "grams") for r in found)])
+            top = np.full(int(usual.sum()), np.iinfo(np.uint32).max, np.int64)
+            seen = np.concatenate([top, *(_load(r, "counts") for r in found)])
+            order = np.lexsort((values, seen, owner))
+            owner, values = owner[order], values[order]
+            # The same piece twice (rows that repeat) brings each n-gram twice.
+            once = np.ones(len(values), bool)
+            once[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+            owner, values = owner[once], values[once].view(np.int64)
+            cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
+            need = -(-percent * sizes // 100)
+            for i in list(range(len(docs))) * len(known):
+                mine = values[cuts[i] : cuts[i + 1]]
+                may = sizes[i] > 0 and len(mine) >= need[i]
+                # N-grams of one document come first in the order and use up the prefix.
+                prefix = mine[: len(mine) - need[i] + 1] if may else None
+                out.append((docs[i], names[i], sizes[i], mine if may else None, prefix))
         return pd.DataFrame(out, columns=["doc_id", "name", "n", "grams", "prefix"])
 
     return gather
@@ -217,7 +207,7 @@ def document_sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     fragments = int((total[1] or 0) / 6 // FRAGMENT_ROWS) + 4
-    buckets = int(total[0] // BUCKET_ROWS) + 4
+    buckets = int((total[1] or 0) // BUCKET_BYTES) + 4
     frequent = spark.sparkContext.broadcast(_frequent(rows, size, total[0]))
     packed = rows.mapInPandas(_read(size, frequent, fragments, buckets), PACKED)
     answers = packed.groupBy("grp").applyInPandas(_count(fragments, buckets), PACKED)
