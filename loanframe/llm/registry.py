@@ -10,12 +10,13 @@ from loanframe.llm import (
     ngram_join,
     order_minhash,
     passage_dedup,
+    segmentation,
     toxicity,
     vector_dedup,
 )
 
 PARTS = (
-    mixing, passage_dedup, line_dedup, vector_dedup, license_scan, toxicity, ngram_join, html_extract,
+    mixing, passage_dedup, segmentation, line_dedup, vector_dedup, license_scan, toxicity, ngram_join, html_extract,
     order_minhash,
 )
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
