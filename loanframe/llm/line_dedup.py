@@ -14,15 +14,16 @@ empty line. Rows that repeat a doc_id are one document for the counts and each k
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import BLANKS, landed, lower_ascii, table
-from loanframe.session import scratch_path
+from loanframe.llm.common import BLANKS, landed, table
 
 MIN_POINTS = 10
 #: Rows of references for which one shard is meant; a shard's filter takes some 4 bytes a key.
@@ -129,25 +130,36 @@ def empty_store(spark: SparkSession, shards: int) -> LineStore:
     )
 
 
-def line_key(line: Column) -> Column:
-    """Blanks stripped at both ends and A-Z in lower case."""
-    return lower_ascii(F.btrim(line, F.lit(BLANKS)))
+def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, pos, key) of every line long enough to count; key is 16 bytes of md5."""
+    for batch in batches:
+        ids, at, keys = [], [], []
+        for doc, text in zip(batch.doc_id, batch.text):
+            # On UTF-8 bytes lower() changes A-Z alone.
+            for pos, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
+                line = line.strip(BLANKS.encode())
+                if len(line) >= MIN_POINTS and (
+                    len(line) >= 4 * MIN_POINTS or len(line.decode("utf-8", "surrogatepass")) >= MIN_POINTS
+                ):
+                    ids.append(doc)
+                    at.append(pos)
+                    keys.append(hashlib.md5(line).digest())
+        yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "pos": np.array(at, np.int32), "key": keys})
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, key) of all lines that count, written once for the steps that read them.
 
-
-def _keyed(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, pos, shard, key) of every line long enough to count; key is 16 bytes of md5."""
-    return (
-        docs.where("doc_id IS NOT NULL")
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-        .select("doc_id", "pos", line_key(F.col("line")).alias("line"))
-        .where(F.length("line") >= MIN_POINTS)
-        .select("doc_id", "pos", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"))
-        .withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    The key is the line with blanks stripped at both ends and A-Z in lower case.
+    """
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
     )
+    return landed(rows.mapInPandas(_keys, "doc_id bigint, pos int, key binary"), "line-keys")
+
+
+def _sharded(keyed: DataFrame, shards: int) -> DataFrame:
+    return keyed.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
 
 
 def _references(keyed: DataFrame) -> DataFrame:
@@ -210,11 +222,14 @@ def _with_filters(store: LineStore, refs: DataFrame, before: DataFrame) -> LineS
     return replace(store, refs=refs, filters=landed(filters, "line-filters"))
 
 
-def insert(store: LineStore, docs: DataFrame) -> LineStore:
-    """Add documents (doc_id, text); ids already in the store are replaced by the new text."""
-    keyed = landed(_references(_keyed(docs, store.shards)), "line-batch")
+def insert(store: LineStore, docs: DataFrame, keyed: DataFrame | None = None) -> LineStore:
+    """Add documents (doc_id, text); ids already in the store are replaced by the new text.
+
+    ``keyed`` may hand over the lines of the documents where they are there already.
+    """
+    new = _references(_sharded(keyed_lines(docs) if keyed is None else keyed, store.shards))
     kept = store.refs.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    refs = landed(kept.select("shard", "key", "doc_id", "lines").unionByName(keyed), "line-refs")
+    refs = landed(kept.select("shard", "key", "doc_id", "lines").unionByName(new), "line-refs")
     return _with_filters(store, refs, store.refs)
 
 
@@ -234,9 +249,9 @@ def seen_keys(store: LineStore, keyed: DataFrame) -> DataFrame:
     return probed.where("seen").drop("seen")
 
 
-def dropped_lines(store: LineStore, docs: DataFrame) -> DataFrame:
+def dropped_lines(store: LineStore, keyed: DataFrame) -> DataFrame:
     """(doc_id, dropped): per document of the store the sorted positions of the lines that go."""
-    keyed = _keyed(docs, store.shards)
+    keyed = _sharded(keyed, store.shards)
     repeated = (
         store.refs.join(seen_keys(store, keyed), ["shard", "key"], "left_semi")
         .groupBy("shard", "key")
@@ -258,42 +273,38 @@ def _kept_text(texts: pd.Series, dropped: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def dedup(store: LineStore, docs: DataFrame) -> DataFrame:
+def dedup(store: LineStore, docs: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
     """All columns of ``docs`` (documents of the store), the text without dropped lines.
 
     Adds ``kept_text``, ``n_lines`` and ``n_dropped``. A row whose doc_id is null keeps all lines.
     """
-    kept = F.pandas_udf(_kept_text, "string")
-    gone = dropped_lines(store, docs).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__gone"))
+    keyed = keyed_lines(docs) if keyed is None else keyed
+    gone = dropped_lines(store, keyed).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__doc"), "left")
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    # Only texts that change go through Python.
+    cut = F.pandas_udf(_kept_text, "string")(F.when(F.col("__gone").isNotNull(), text), "__gone")
     return joined.withColumns(
         {
-            "n_lines": lines.cast("bigint"),
+            "n_lines": F.size(F.split(text, "\n", -1)).cast("bigint"),
             "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"),
-            "kept_text": F.when(F.col("__gone").isNull(), text).otherwise(kept(text, "__gone")),
+            "kept_text": F.coalesce(cut, text),
         }
     ).drop("__doc", "__gone")
 
 
-def shards_for(spark: SparkSession, docs: DataFrame) -> int:
-    """A number of shards that follows the lines of the input."""
-    breaks = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1
-    rows = docs.agg(F.sum(breaks)).first()[0] or 0
-    return int(rows // SHARD_ROWS) + 8
-
-
-def stored(docs: DataFrame) -> LineStore:
-    """A new store that holds ``docs``."""
-    spark = docs.sparkSession
-    return insert(empty_store(spark, shards_for(spark, docs)), docs.select("doc_id", "text"))
+def stored(docs: DataFrame, keyed: DataFrame | None = None) -> LineStore:
+    """A new store that holds ``docs``; the number of shards follows their lines."""
+    keyed = keyed_lines(docs) if keyed is None else keyed
+    shards = keyed.count() // SHARD_ROWS + 8
+    return insert(empty_store(docs.sparkSession, shards), docs.select("doc_id", "text"), keyed)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that stay in each document once all documents are in a store."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(stored(docs), docs).select(
+    keyed = keyed_lines(docs)
+    return dedup(stored(docs, keyed), docs, keyed).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
 

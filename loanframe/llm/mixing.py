@@ -24,7 +24,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ PERIOD = 1000
 BLOCK_ROWS = 16
 #: Most sources that can have a weight of their own; the period grows with them.
 MAX_SOURCES = 100_000
-#: Rows of one source meant for one hash range.
+#: Rows of the table meant for one piece of the hash range.
 RANGE_ROWS = 50_000
 
 
@@ -82,38 +82,31 @@ def schedule(whole: Mapping) -> list[tuple]:
     return out
 
 
-def numbered(docs: DataFrame, source: str, order: list[str], name: str) -> DataFrame:
-    """Add the row number (from 0) within the source, rows ordered by a hash of ``order``.
+def _source_key(source: str) -> Column:
+    """The source as text that is never null."""
+    return F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
 
-    The hash range of a source is cut into as many pieces as its rows call for. Windows only see a
-    piece; the rows of earlier pieces come from their counts. Rows with equal hashes tie, and stay
-    together in one piece.
+
+def numbered(docs: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """Add the row number (from 0) within each value of ``key``, rows ordered by a hash of ``order``.
+
+    The hash range is cut into as many pieces as the table calls for. Windows only see the rows of a
+    value in a piece; the rows of earlier pieces come from their counts. Rows with equal hashes stay
+    together in one piece and share its numbers in any order.
     """
-    hashed = docs.withColumn("__h", F.xxhash64(*[F.col(c) for c in order]))
-    sizes = (
-        hashed.groupBy(source)
-        .agg(F.count("*").alias("__rows"))
-        .withColumn("__cuts", (F.col("__rows") / RANGE_ROWS).cast("bigint") + 1)
-    )
-    cut = hashed.join(
-        sizes.select(F.col(source).alias("__s"), "__cuts"),
-        F.col(source).eqNullSafe(F.col("__s")),
-    ).drop("__s")
-    # The upper 31 bits of the hash, as a fraction, choose the piece: pieces follow the hash order.
-    share = (F.shiftright("__h", 33) + F.lit(1 << 30)) / F.lit(float(1 << 31))
-    cut = cut.withColumn("__piece", (share * F.col("__cuts")).cast("bigint"))
-    counts = cut.groupBy(source, "__piece").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(source).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(
-        F.col(source).alias("__s"), F.col("__piece").alias("__p"),
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+    bits = max(0, (docs.count() // RANGE_ROWS).bit_length())
+    cut = docs.withColumn("__h", F.xxhash64(*[F.col(c) for c in order])).withColumn(
+        "__piece", F.shiftright("__h", 63 - bits)
     )
-    inside = W.partitionBy(source, "__piece").orderBy("__h")
+    counts = cut.groupBy(key, "__piece").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(key).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(key, "__piece", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = W.partitionBy(key, "__piece").orderBy("__h")
     return (
         cut.withColumn("__r", F.row_number().over(inside))
-        .join(counts, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__piece") == F.col("__p")))
+        .join(counts, [key, "__piece"])
         .withColumn(name, F.col("__before") + F.col("__r") - 1)
-        .drop("__h", "__cuts", "__piece", "__s", "__p", "__before", "__r")
+        .drop("__h", "__piece", "__r", "__before")
     )
 
 
@@ -128,31 +121,28 @@ def mix(
     """All columns of ``docs`` with the place of each row in the mixture.
 
     Adds ``mix_block`` (block within the source, from 0), ``mix_slot`` (null for a source without a
-    weight) and ``mix_offset`` (within the block). Sorting by (mix_slot, mix_offset), nulls last,
-    gives the mixture.
+    weight) and ``mix_offset`` (within the block), replacing columns of these names. Sorting by
+    (mix_slot, mix_offset), nulls last, gives the mixture.
     """
     spark = docs.sparkSession
     whole = whole_weights(weights, period)
     length = sum(whole.values())
+    named = lambda k: "-" if k is None else f"={k}"
     plan = spark.createDataFrame(
-        [(name, whole[name], index, slot) for name, index, slot in schedule(whole)],
-        f"__name {docs.schema[source].dataType.simpleString()}, __a bigint, __index bigint, __slot bigint",
+        [(named(name), index, slot) for name, index, slot in schedule(whole)],
+        "__key string, __index bigint, __slot bigint",
     )
-    shares = plan.select("__name", "__a").distinct()
-    rows = numbered(docs, source, list(order), "__row")
+    shares = spark.createDataFrame([(named(n), a) for n, a in whole.items()], "__key string, __a bigint")
+    rows = numbered(docs.withColumn("__key", _source_key(source)), "__key", list(order), "__row")
     rows = rows.withColumn("mix_block", (F.col("__row") / block_rows).cast("bigint")).withColumn(
-        "mix_offset", F.col("__row") % block_rows
+        "mix_offset", (F.col("__row") % block_rows).cast("bigint")
     )
-    same = F.col(source).eqNullSafe(F.col("__name"))
-    # At most one row per slot of the period, by construction: small beside any table of documents.
-    rows = rows.join(F.broadcast(shares), same, "left").drop("__name")
-    spot = F.broadcast(plan.select("__name", "__index", "__slot"))
-    at = same & (F.col("mix_block") % F.col("__a") == F.col("__index"))
-    cycle = F.floor(F.col("mix_block") / F.col("__a"))
+    # One row per weighted source, and one per slot of the period: bounded by MAX_SOURCES.
+    rows = rows.join(F.broadcast(shares), "__key", "left").withColumn("__index", F.col("mix_block") % F.col("__a"))
     return (
-        rows.join(spot, at, "left")
-        .withColumn("mix_slot", F.lit(length) * cycle + F.col("__slot"))
-        .drop("__row", "__a", "__name", "__index", "__slot")
+        rows.join(F.broadcast(plan), ["__key", "__index"], "left")
+        .withColumn("mix_slot", F.lit(length) * F.floor(F.col("mix_block") / F.col("__a")) + F.col("__slot"))
+        .drop("__row", "__a", "__key", "__index", "__slot")
     )
 
 
@@ -162,10 +152,11 @@ def damped_weights(docs: DataFrame, source: str = "source", power: float = 0.5)
     return {row[source]: row["count"] ** power for row in counts.collect()}
 
 
-def mixed(docs: DataFrame, weights: Mapping, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping, source: str = "source", order: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """The columns of ``docs``, rows sorted into the mixture."""
-    placed = mix(docs, weights, **options)
-    return placed.orderBy(F.col("mix_slot").asc_nulls_last(), "mix_offset").select(*docs.columns)
+    rows = docs.select(source, *[c for c in order if c != source], F.struct("*").alias("__doc"))
+    placed = mix(rows, weights, source=source, order=order, **options)
+    return placed.orderBy(F.col("mix_slot").asc_nulls_last(), "mix_offset").select("__doc.*")
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
