@@ -491,10 +491,11 @@ def encode(
 
     Adds ``sample`` (from 0, best first), ``ids`` (piece ids as 16-bit little-endian numbers),
     ``log_prob``, ``perturbed`` and ``inclusion`` (the probability to be among the samples, given the
-    threshold).
+    threshold); columns of these names are replaced.
     """
     sent = _vocabulary(docs.sparkSession, model, sharpness)
-    others = [c for c in docs.columns if c != text]
+    made_here = {"sample", "ids", "log_prob", "perturbed", "inclusion"}
+    others = [c for c in docs.columns if c != text and c not in made_here]
     schema = docs.select(*others, F.col(text).alias("__text"), F.coalesce(F.xxhash64(key), F.lit(0)).alias("__key"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
