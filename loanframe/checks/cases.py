@@ -196,6 +196,33 @@ SELECT CAST(batch AS BIGINT) * 1000000 + offset_ AS case_id, batch, vec_id,
   64 AS dimensions FROM numbered WHERE batch BETWEEN 2 AND 5"""
 
 
+@query
+def case_store_growth(spark, sf):
+    """Two loads into one store, the second run again with other amounts; every vector value."""
+    path = scratch_path(spark, "cases-growth")
+    rows = _payload(_vectors(spark, sf)).withColumnRenamed("case_id", "vec_id")
+    store.append_cases(cases.batched(rows.where("vec_id % 3 > 0"), "vec_id", SIZE), path)
+    second = cases.batched(
+        rows.where("vec_id % 3 = 0"), "vec_id", SIZE, start_batch=store.next_batch(spark, path)
+    )
+    store.append_cases(second, path)
+    store.write_cases(second.withColumn("amount", F.col("amount") + 1), path)
+    return store.read_cases(spark, path).select(
+        "case_id", "batch", "vec_id", "amount", F.posexplode("vector").alias("position", "value")
+    ).withColumn("value", F.col("value").cast("double"))
+
+
+ORACLE["case_store_growth"] = """WITH loads AS (
+  SELECT *, vec_id % 3 = 0 AS later, row_number() OVER (PARTITION BY vec_id % 3 = 0 ORDER BY vec_id) - 1 AS i
+  FROM embeddings),
+placed AS (
+  SELECT *, CAST(i // 100 + 1 + CASE WHEN later THEN (SELECT max(i) // 100 + 1 FROM loads WHERE NOT later) ELSE 0 END AS INT) AS batch
+  FROM loads)
+SELECT CAST(batch AS BIGINT) * 1000000 + i % 100 AS case_id, batch, vec_id,
+  CAST(vec_id * 100 + CASE WHEN later THEN 1 ELSE 0 END AS DOUBLE) AS amount,
+  CAST(unnest(generate_series(0, len(embedding) - 1)) AS INT) AS position, CAST(unnest(embedding) AS DOUBLE) AS value FROM placed"""
+
+
 @query
 def case_text_vectors(spark, sf):
     """Loan history as cases: one unit vector per loan that has words in its text."""

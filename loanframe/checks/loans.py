@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loanframe.checks.sqltext import r, rounded, with_standins
 from loanframe.functions import scalar, text
-from loanframe.operators import sampling
+from loanframe.operators import quantile, sampling
 from loanframe.plans import loans
 from loanframe.session import scratch_path
 from loanframe.sources import tables
@@ -229,6 +229,31 @@ def median_values(spark, sf):
     ).select("n", *[rounded(c).alias(c) for c in columns])
 
 
+@query
+def median_values_wild(spark, sf):
+    """Medians with NaN, both infinities and far outliers among the prices."""
+    price, day = F.col("l_extendedprice").cast("double"), F.col("l_orderkey") % 10
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.when(day == 0, F.lit(float("nan"))).when(day < 3, F.lit(float("inf"))).otherwise(price).alias("a"),
+        F.when(day < 4, F.lit(1e300)).when(day == 4, F.lit(-1e300)).otherwise(price).alias("b"),
+        F.when(day < 6, F.lit(float("-inf"))).otherwise(price).alias("c"),
+        F.when(day == 0, F.lit(float("nan"))).otherwise(price * F.pow(F.lit(10.0), day * 30 - 150)).alias("d"),
+    )
+    medians = quantile.exact_medians(df, ["a", "b", "c", "d"])
+    return df.agg(F.count(F.lit(1)).alias("n"), *[F.lit(medians[c]).alias(c) for c in "abc"], (F.log10(F.lit(medians["d"]))).alias("d")).select(
+        "n", *[rounded(c).alias(c) for c in "abd"], "c"
+    )
+
+
+ORACLE["median_values_wild"] = f"""WITH wild AS (
+  SELECT CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_orderkey % 10 < 3 THEN CAST('inf' AS DOUBLE) ELSE l_extendedprice END AS a,
+  CASE WHEN l_orderkey % 10 < 4 THEN 1e300 WHEN l_orderkey % 10 = 4 THEN -1e300 ELSE l_extendedprice END AS b,
+  CASE WHEN l_orderkey % 10 < 6 THEN CAST('-inf' AS DOUBLE) ELSE l_extendedprice END AS c,
+  CASE WHEN l_orderkey % 10 > 0 THEN l_extendedprice * pow(10.0, (l_orderkey % 10) * 30 - 150) END AS d
+  FROM lineitem)
+SELECT CAST(count(*) AS BIGINT) AS n, {r('median(a)')} AS a, {r('median(b)')} AS b, median(c) AS c,
+  {r('log10(median(d))')} AS d FROM wild"""
+
 ORACLE["median_values"] = f"""SELECT CAST(count(*) AS BIGINT) AS n,
 {r('median(l_quantity)')} AS l_quantity, {r('median(l_extendedprice)')} AS l_extendedprice,
 {r('median(l_discount)')} AS l_discount FROM lineitem"""

@@ -14,6 +14,8 @@ def read_csv(
 ) -> DataFrame:
     """A partitioned CSV scan with declared types; columns are matched by their header name.
 
+    The header of every file is compared with that of the first: a file whose columns come in another
+    order stops the scan instead of filling the wrong columns.
     Columns the schema does not name are text and are only read when asked for; columns the file
     lacks are null. Rows that do not fit keep their text in ``_corrupt_record`` when it is asked for.
     """
@@ -23,6 +25,7 @@ def read_csv(
     layout = StructType([StructField(n, kinds.get(n, StringType())) for n in names])
     df = (
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("quote", '"')

@@ -107,6 +107,32 @@ def test_case_store_replaces_batches_and_prunes(spark, tmp_path):
     assert store.read_cases(spark, path).count() == 10
 
 
+def test_case_store_grows_and_refuses_stored_batches(spark, tmp_path):
+    path = str(tmp_path / "cases")
+    assert store.next_batch(spark, path) == 1
+    store.append_cases(case_rows(spark, 35), path)
+    assert store.next_batch(spark, path) == 5
+    with pytest.raises(ValueError, match="batch 4 is in the store"):
+        store.append_cases(case_rows(spark, 35).where("batch = 4"), path)
+    more = spark.range(100, 115).select("id", F.array(F.lit(2.0).cast("float")).alias("vector"), F.lit(None).cast("double").alias("x"))
+    second = cases.batched(more, "id", 10, start_batch=store.next_batch(spark, path))
+    store.append_cases(second, path)
+    store.write_cases(second.withColumn("x", F.lit(3.0)), path)
+    read = store.read_cases(spark, path)
+    assert read.count() == 50 == read.select("case_id").distinct().count() and read.where("x = 3").count() == 15
+    far = cases.batched(more, "id", 10, start_batch=store.RANGE_BATCHES * 3)
+    store.append_cases(far, path)
+    assert store.read_cases(spark, path, 2900).count() == 15 and store.read_cases(spark, path, end=2900).count() == 50
+    assert len(store.read_cases(spark, path, 2900).inputFiles()) >= 1
+
+
+def test_csv_files_with_other_column_order_are_refused(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "a int, b int").coalesce(1).write.option("header", True).csv(str(tmp_path / "t"))
+    spark.createDataFrame([(2, 1)], "b int, a int").coalesce(1).write.mode("append").option("header", True).csv(str(tmp_path / "t"))
+    with pytest.raises(Exception, match="header"):
+        tables.read_csv(spark, str(tmp_path / "t"), "a INT, b INT").collect()
+
+
 def test_batch_mismatch_is_refused(spark):
     rows = case_rows(spark, 25)
     payload = rows.select("batch", "case_id", "x")
