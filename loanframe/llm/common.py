@@ -34,9 +34,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has a link.
 
     Each round hangs the neighbours of a node under the smallest of them: first the larger ones,
-    then the rest. The number of rounds follows the logarithm of the longest chain. Rounds end when
-    the links no longer change. Links are only ever grouped by partial minimum and joined, so a node
-    with very many links is spread by Spark's split of skewed joins.
+    then the rest. The number of rounds follows the logarithm of the longest chain; they end when every
+    node hangs on one that hangs on nothing. Links are only ever grouped by partial minimum and joined,
+    so a node with very many links is spread by Spark's split of skewed joins.
     """
     edges = landed(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -44,13 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "links",
     )
-
-    def mark(df: DataFrame):
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(row)
-
-    before = mark(edges)
-    while before[0]:
+    while not _hangs(edges):
         # Large star: every larger neighbour of u goes to the least of u and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -72,9 +66,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         edges = landed(small, "links")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+
+
+def _hangs(edges: DataFrame) -> bool:
+    """Whether each node has at most one smaller neighbour, which then has none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    wrong = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1")
+    return wrong.isEmpty()

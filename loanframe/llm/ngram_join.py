@@ -14,7 +14,7 @@ every set.
 3. *Overlaps.* For a pair each fragment counts its part of the overlap; the parts are summed per pair
    and compared with the union in whole numbers.
 4. Linked sets become one component. Sets that share an n-gram and are in different components are
-   paired with further hubs, twice as many per round, until each n-gram has one component or all its
+   paired with further hubs, many times as many per round, until each n-gram has one component or all its
    sets have been hubs: no link between components is left out, and a group of copies costs as many
    pairs as it has members.
 
@@ -44,6 +44,8 @@ SAMPLE_ROWS = 4000
 #: N-grams meant for a fragment, and parts of a set in which overlaps are counted.
 FRAGMENT_ROWS = 750_000
 PARTS = 4
+#: Times the hubs of a round in the next.
+HUB_GROWTH = 16
 #: Text whose answers are put together in one group.
 BUCKET_BYTES = 1 << 24
 
@@ -223,30 +225,23 @@ def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(a, b)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, other) that link: partial overlaps per part of the order, summed per pair."""
-    part = lambda v, p: F.filter(v, lambda x: F.pmod(x, F.lit(PARTS)) == p)
-    cut = lambda side: sets.select(
-        F.col("name").alias(side),
-        F.posexplode(F.array(*[part(F.col("grams"), p) for p in range(PARTS)])).alias("part", f"{side}_grams"),
-    ).where(F.size(f"{side}_grams") > 0)
-    size = lambda side: sets.select(F.col("name").alias(side), F.col("n").alias(f"{side}_n"))
+    side = lambda s: parts.select(F.col("name").alias(s), F.col("parts").alias(f"{s}_parts"))
     counted = (
-        pairs.join(cut("other"), "other").join(cut("hub"), ["hub", "part"])
-        .select("hub", "other", F.pandas_udf(_overlaps, "bigint")("hub_grams", "other_grams").alias("overlap"))
-        .groupBy("hub", "other").agg(F.sum("overlap").alias("overlap"))
-    )
-    union = F.col("hub_n") + F.col("other_n") - F.col("overlap")
-    return (
-        counted.join(size("hub"), "hub").join(size("other"), "other")
-        .where(100 * F.col("overlap") >= percent * union)
-        .select("hub", "other")
+        pairs.join(side("other"), "other").join(side("hub"), "hub")
+        .select("hub", "other", "sizes", F.explode(F.arrays_zip("hub_parts", "other_parts")).alias("p"))
+        .select("hub", "other", "sizes", F.pandas_udf(_overlaps, "bigint")("p.hub_parts", "p.other_parts").alias("overlap"))
+        .groupBy("hub", "other", "sizes").agg(F.sum("overlap").alias("overlap"))
     )
+    return counted.where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("hub", "other")
 
 
-def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(hub, other): verified links that connect whatever all links connect; one row of ``sets`` per set."""
+def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the sets that link; ``sets`` has one row (name, n, grams, prefix) per set."""
     spark = sets.sparkSession
+    part = lambda p: F.filter("grams", lambda x: F.pmod(x, F.lit(PARTS)) == p)
+    parts = sets.select("name", F.array(*[part(p) for p in range(PARTS)]).alias("parts"))
     rows = sets.select("name", "n", F.explode("prefix").alias("gram"))
     shared = rows.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     # (gram, name, n, top): top is the component so far.
@@ -254,7 +249,7 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows.join(shared.select("gram"), "gram", "left_semi").withColumn("top", F.col("name")), "ngram-active"
     )
     links = spark.createDataFrame([], "hub bigint, other bigint")
-    tested = links
+    tops = spark.createDataFrame([], "node bigint, component bigint")
     hubs_wanted = 1
     while not active.isEmpty():
         # One hub for each salt of a gram: no window over a gram, only partial minima.
@@ -262,30 +257,29 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         hubs = active.groupBy("gram", salt.alias("salt")).agg(
             F.min(F.struct(F.col("name").alias("hub"), F.col("n").alias("hub_n"), F.col("top").alias("hub_top"))).alias("h")
         ).select("gram", "h.*")
-        hubs = landed(hubs, "ngram-hubs")
-        alike = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent)
+        alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
         pairs = (
             active.join(hubs, "gram")
             .where((F.col("top") != F.col("hub_top")) & alike)
-            .select(F.least("hub", "name").alias("hub"), F.greatest("hub", "name").alias("other"))
+            .select(
+                F.least("hub", "name").alias("hub"), F.greatest("hub", "name").alias("other"),
+                (F.col("n") + F.col("hub_n")).alias("sizes"),
+            )
             .distinct()
         )
-        pairs = landed(pairs.join(tested, ["hub", "other"], "left_anti"), "ngram-pairs")
-        new = landed(_verified(pairs, sets, percent), "ngram-links")
-        tested = tested.union(pairs)
-        links = links.union(new)
-        tops = components(links, "hub", "other")
+        links = links.union(landed(_verified(pairs, parts, percent), "ngram-links"))
+        tops = landed(components(links, "hub", "other"), "ngram-tops")
         left = (
             active.join(hubs.select("gram", F.col("hub").alias("name")), ["gram", "name"], "left_anti")
             .drop("top")
             .join(tops, F.col("name") == F.col("node"), "left")
             .select("gram", "name", "n", F.coalesce("component", "name").alias("top"))
         )
-        # Hubs that were taken stay comparable through their component; what is left must still differ.
+        # Hubs have met all others of their gram; what is left must still differ to be of interest.
         several = left.groupBy("gram").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a <> b")
         active = landed(left.join(several.select("gram"), "gram", "left_semi"), "ngram-active")
-        hubs_wanted *= 2
-    return links
+        hubs_wanted *= HUB_GROWTH
+    return tops
 
 
 def near_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -293,19 +287,23 @@ def near_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     every = document_sets(docs, size, percent)
     may = every.where("grams IS NOT NULL")
     sets = landed(may.dropDuplicates(["name"]).select("name", "n", "grams", "prefix"), "ngram-distinct")
-    links = set_links(sets, percent)
-    # Documents of a set hang on the smallest of them; linked sets hang on each other's smallest.
-    first = every.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("top"))
-    within = every.where("n > 0").join(first, "name").select(F.col("doc_id").alias("a"), F.col("top").alias("b"))
-    across = links.join(first.withColumnRenamed("name", "hub").withColumnRenamed("top", "a"), "hub").join(
-        first.withColumnRenamed("name", "other").withColumnRenamed("top", "b"), "other"
-    ).select("a", "b")
-    tops = components(within.union(across))
-    numbered = every.select("doc_id", "n").join(tops, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    tops = set_components(sets, percent)
+    # Documents of linked sets hang on the smallest of them all.
+    placed = landed(
+        every.select("doc_id", "n", "name").join(tops, F.col("name") == F.col("node"), "left")
+        .select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("top")),
+        "ngram-placed",
     )
+    first = placed.where("top IS NOT NULL").groupBy("top").agg(F.min("doc_id").alias("first"))
+    found = placed.join(first, "top", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("component_id"))
+    if not placed.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # An id with several texts ties their groups together.
+        tied = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        found = found.join(tied, F.col("doc_id") == F.col("node"), "left").select(
+            "doc_id", "n", F.coalesce("component", "component_id").alias("component_id")
+        )
     lost = docs.where("doc_id IS NULL")
-    return numbered.union(
+    return found.withColumnRenamed("n", "n_shingles").union(
         lost.mapInPandas(_sizes(size), "doc_id bigint, n_shingles bigint, component_id bigint")
     )
 
