@@ -428,10 +428,19 @@ def request_table(spark, sf):
     apps = standin(spark, sf, "application")
     flags = apps.select("app_id", (F.col("accounts") / 2).alias("income_mean"), (F.col("accounts") % 2).cast("int").alias("savings_habit"))
     found = apps.select(
-        "app_id", F.lit(1).alias("rank"), (F.col("app_id") + 1_000_000).alias("case_id"), F.lit(0.5).alias("score")
+        "app_id", F.lit(1).alias("rank"), (F.col("app_id") + 1_000_000).alias("case_id"), F.lit(0.5).alias("score"),
+        F.when(F.col("app_id") % 2 == 0, "Fully Paid").otherwise("Charged Off").alias("loan_status"),
+        (F.col("app_id") % 7 + 5.0).alias("int_rate"),
     )
     scores = apps.select("app_id", F.lit(0.125).alias("rate"), F.lit(0.25).alias("risk_score"))
-    df = records.requests(apps, flags, found, scores)
+    accepted = F.col("app_id") % 3 > 0
+    decided = apps.select(
+        "app_id",
+        F.when(accepted, "approve").otherwise("reject").alias("decision"),
+        F.concat(F.lit("reason "), F.col("app_id")).alias("reason"),
+        F.when(accepted, F.lit(0.25)).alias("rate"),
+    )
+    df = records.requests(apps, flags, found, scores, decisions=decided)
 
     def value(path: str, kind: str):
         return F.get_json_object("payload", path).cast(kind)
@@ -445,6 +454,11 @@ def request_table(spark, sf):
         value("$.interest_rate", "double").alias("rate"),
         value("$.bank_risk_tolerance", "string").alias("tolerance"),
         value("$.profiles_definitions.growth_potential", "string").alias("definition"),
+        value("$.retrieved_cases[0].payload.loan_status", "string").alias("case_status"),
+        rounded(value("$.retrieved_cases[0].payload.int_rate", "double")).alias("case_rate"),
+        value("$.decision.reason", "string").alias("reason"),
+        F.col("payload").contains('"rate":null').alias("null_rate_kept"),
+        value("$.user_directives", "string").alias("directives"),
     )
 
 
@@ -460,7 +474,13 @@ SELECT app_id, task, criterion, CASE WHEN task <> 'profile' THEN accounts END AS
   CASE WHEN task IN ('decision', 'evaluation', 'report') THEN CAST(0.125 AS DOUBLE) END AS rate,
   CASE WHEN task = 'evaluation' THEN 'medium' END AS tolerance,
   CASE WHEN task = 'profile' THEN 'Evidence that income and savings are trending upwards.' END
-    AS definition
+    AS definition,
+  CASE WHEN task IN ('decision', 'rag_eval') THEN CASE WHEN app_id % 2 = 0 THEN 'Fully Paid' ELSE 'Charged Off' END END AS case_status,
+  CASE WHEN task IN ('decision', 'rag_eval') THEN {r('app_id % 7 + 5.0')} END AS case_rate,
+  CASE WHEN task IN ('evaluation', 'report', 'rag_eval') THEN 'reason ' || app_id END AS reason,
+  app_id % 3 = 0 AND task IN ('evaluation', 'report', 'rag_eval') AS null_rate_kept,
+  CASE task WHEN 'evaluation' THEN 'No additional directives provided.'
+    WHEN 'report' THEN 'No additional directions provided.' END AS directives
 FROM application CROSS JOIN tasks""",
 )
 

@@ -17,6 +17,7 @@ CRITERIA = ["faithfulness", "relevance", "correctness"]
 MAX_RETRIES = 3
 RISK_TOLERANCE = "medium"
 NO_DIRECTIVES = "No additional directives provided."
+NO_DIRECTIONS = "No additional directions provided."
 
 # The profiles a request asks about, with their definitions.
 PROFILE_DEFINITIONS = {
@@ -253,21 +254,30 @@ def requests(
     cases: DataFrame | None = None,
     scores: DataFrame | None = None,
     key: str = "app_id",
+    decisions: DataFrame | None = None,
+    definitions: dict[str, str] = PROFILE_DEFINITIONS,
 ) -> DataFrame:
     """One payload per application and task: app_id, task, criterion, payload.
 
-    ``features`` has metrics and flags per application, ``cases`` the retrieved cases, ``scores``
-    rate and risk_score. The share map is left out of every request but the first.
+    ``features`` has metrics and flags per application, ``cases`` the retrieved cases (columns beside
+    rank, case_id and score are their payload), ``scores`` rate and risk_score, ``decisions`` the
+    record of the decision step, all of whose columns go along. The share map is left out of every
+    request but the first. Fields without a value stay in the payload as null.
     """
     df = applications.join(features, key, "left")
     if scores is not None:
         df = df.join(scores.select(key, "rate", "risk_score"), key, "left")
     if cases is not None:
         # At most k cases per application.
-        listed = cases.groupBy(key).agg(
-            F.sort_array(F.collect_list(F.struct("rank", "case_id", "score"))).alias("cases")
-        )
+        rest = [c for c in cases.columns if c not in (key, "rank", "case_id", "score")]
+        case = F.struct("rank", "case_id", "score", *([F.struct(*rest).alias("payload")] if rest else []))
+        # Maps cannot be ordered, ranks can: sorted by rank alone.
+        by_rank = F.array_sort(F.collect_list(case), lambda a, b: a["rank"].cast("int") - b["rank"].cast("int"))
+        listed = cases.groupBy(key).agg(by_rank.alias("cases"))
         df = df.join(listed, key, "left")
+    if decisions is not None:
+        record = F.struct(*[c for c in decisions.columns if c != key]).alias("decision")
+        df = df.drop("decision").join(decisions.select(key, record), key, "left")
 
     def part(names: list[str]) -> Column:
         present = [n for n in names if n in df.columns]
@@ -280,7 +290,7 @@ def requests(
     metrics = part(FEATURES).alias("features")
     flags = part(FLAGS).alias("profiles")
     all_metrics = part([*FEATURES, "last3_category_shares"]).alias("user_features")
-    definitions = F.create_map(*[F.lit(x) for item in PROFILE_DEFINITIONS.items() for x in item])
+    asked = F.create_map(*[F.lit(x) for item in definitions.items() for x in item])
     revision = [
         optional("action", "string").alias("action"),
         optional("comments", "string").alias("comments"),
@@ -292,8 +302,9 @@ def requests(
     ]
     retrieved = optional("cases", "string").alias("retrieved_cases")
     decision = optional("decision", "string").alias("decision")
-    directives = F.coalesce(optional("user_directives", "string"), F.lit(NO_DIRECTIVES)).alias(
-        "user_directives"
+    directives, directions = (
+        F.coalesce(optional("user_directives", "string"), F.lit(none)).alias("user_directives")
+        for none in (NO_DIRECTIVES, NO_DIRECTIONS)
     )
     tolerance = F.coalesce(optional("risk_tolerance", "string"), F.lit(RISK_TOLERANCE)).alias(
         "bank_risk_tolerance"
@@ -307,12 +318,12 @@ def requests(
         return F.struct(
             F.lit(task).alias("task"),
             F.lit(criterion).cast("string").alias("criterion"),
-            F.to_json(F.struct(*columns)).alias("payload"),
+            F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("payload"),
         )
 
     rows = [
         request(
-            "profile", None, definitions.alias("profiles_definitions"), all_metrics,
+            "profile", None, asked.alias("profiles_definitions"), all_metrics,
             flags, conclusion, previous_profiles, *revision,
         ),
         request(
@@ -322,7 +333,7 @@ def requests(
         request(
             "evaluation", None, loan, metrics, flags, reasons, *terms, decision, tolerance, directives
         ),
-        request("report", None, loan, metrics, flags, reasons, *terms, decision, directives),
+        request("report", None, loan, metrics, flags, reasons, *terms, decision, directions),
         *[
             request("rag_eval", c, F.lit(c).alias("criteria"), loan, decision, retrieved)
             for c in CRITERIA

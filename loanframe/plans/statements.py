@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loanframe.functions.periods import period, periods_between, step
-from loanframe.operators.prefix import CHUNK_BITS, running_sums
+from loanframe.operators.prefix import id_levels, running_sums
 
 # The text that marks a card payment, the non-essential categories, and how many card
 # periods count as recent.
@@ -159,12 +159,12 @@ def month_totals_wide(spend: DataFrame, categories: list[str]) -> DataFrame:
 def running_balance(bank: DataFrame, opening: Column | None = None) -> DataFrame:
     """Running income minus expense per user in (date, ord) order, beside the stated balance.
 
-    ``ord`` must be a unique BIGINT here. A user's rows are cut by date and by ranges of ``ord``, so a
-    user that owns a large part of all rows, even on one date, still spreads over many tasks.
+    ``ord`` must be a unique BIGINT here. A user's rows are cut by date and by two levels of ranges of
+    ``ord``, so a user that owns a large part of all rows, even on one date and with ids far apart, still
+    spreads over many tasks: no task sorts more than the dates of a user, or 2^24 chunks, or 2^20 rows.
     """
     change = F.coalesce(F.col("income"), F.lit(0.0)) - F.coalesce(F.col("expense"), F.lit(0.0))
-    chunk = F.struct("date", F.shiftright(F.col("ord"), CHUNK_BITS).alias("part"))
-    levels = [("__chunk", chunk)]
+    levels = [("__day", F.col("date")), *id_levels("ord")]
     summed = running_sums(bank, ["user_id"], levels, ["ord"], {"running": change})
     start = F.lit(0.0) if opening is None else F.coalesce(opening, F.lit(0.0))
     return summed.withColumn("running", F.col("running") + start).withColumn(

@@ -113,3 +113,11 @@ def test_report_facts_with_nulls(spark):
     df = spark.createDataFrame([(1, "car", 1200.0, 12, 0.0, None, None, 10.0, 0.0, 0.5, "accepted", None)], "app_id int, loan_purpose string, loan_amount double, loan_term int, rate double, interest_rate double, final_term int, monthly_debt double, annual_income double, risk_score double, decision string, reason string")
     sheet = records.report_facts(df).first()["markdown"]
     assert "- Monthly instalment: 100.00" in sheet and "- Debt to income (%): n/a" in sheet and "- Reason: n/a" in sheet
+
+
+def test_numbers_in_texts_look_like_python_floats(spark):
+    from loanframe.functions.text import plain_number
+
+    values = [0.0, 0.0005, 1e-4, 9.99e-5, 1e-5, 2.5e-7, 1e7, 12345678.25, 123456789.0, 1e15, 1e16, 1e20, 1e300, -0.00025, -1e16, 0.001, 3.5, 1e-300]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(plain_number(F.col("v"))).collect()] == [repr(v) for v in values]

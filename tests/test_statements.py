@@ -242,3 +242,16 @@ def test_sample_statements(spark):
             assert math.isclose(rows[user][name], value, rel_tol=1e-8, abs_tol=1e-9), (user, name)
     assert [rows[39][f] for f in FLAGS] == [1, 0, 1, 1]
     assert math.isclose(statistics.fmean(r["expense_volatility"] for r in rows.values()), 24 / 51)
+
+
+def test_running_balance_of_one_user_with_ids_far_apart(spark):
+    rng = random.Random(3)
+    ids = rng.sample(range(1 << 62), 3000)
+    rows = [(1 if i % 10 else 2, f"2024-01-0{1 + i % 3}", k, float(i % 7), float(i % 5), 0.0) for i, k in enumerate(ids)]
+    bank = spark.createDataFrame(rows, "user_id int, date string, ord bigint, income double, expense double, balance double")
+    bank = bank.withColumn("date", F.to_date("date"))
+    got = {r["ord"]: r["running"] for r in statements.running_balance(bank).collect()}
+    total = {1: 0.0, 2: 0.0}
+    for user, date, key, income, expense, _ in sorted(rows, key=lambda r: (r[1], r[2])):
+        total[user] += income - expense
+        assert abs(got[key] - total[user]) < 1e-6
