@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loanframe.checks.loans import LOAN_TEXT
+from loanframe.checks.models import WORD
 from loanframe.checks.sqltext import r, rounded, with_standins
 from loanframe.functions.text import application_text
 from loanframe.operators.topk import cosine_topk
@@ -225,28 +227,36 @@ SELECT CAST(batch AS BIGINT) * 1000000 + i % 100 AS case_id, batch, vec_id,
 
 @query
 def case_text_vectors(spark, sf):
-    """Loan history as cases: one unit vector per loan that has words in its text."""
+    """Loan history as cases: every entry of every text vector that is not zero."""
     history = standin(spark, sf, "accepted").withColumnsRenamed(loans.ACCEPTED_NAMES)
     rows = cases.case_rows(history, "loan_key")
-    return rows.select(
-        "loan_key", "batch", "offset", "case_id", F.size("vector").alias("dimensions"),
-        (F.array_max("vector") > 0).alias("filled"),
+    entries = F.filter(
+        F.transform("vector", lambda v, i: F.struct(i.alias("position"), v.alias("value"))), lambda e: e["value"] > 0
     )
+    return rows.select(
+        "loan_key", "batch", "offset", "case_id", F.size("vector").alias("dimensions"), F.explode(entries).alias("e")
+    ).select("loan_key", "batch", "offset", "case_id", "dimensions", "e.position", rounded("e.value").alias("value"))
 
 
 ORACLE["case_text_vectors"] = with_standins(
     ["accepted"],
-    """WITH numbered AS (
-  SELECT loan_key, row_number() OVER (ORDER BY loan_key) - 1 AS i FROM accepted)
+    f"""WITH numbered AS (
+  SELECT loan_key, row_number() OVER (ORDER BY loan_key) - 1 AS i,
+    unnest(regexp_extract_all(lower({LOAN_TEXT}), '{WORD}')) AS term FROM accepted),
+counts AS (
+  SELECT loan_key, CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 384 AS INT) AS position, count(*) AS n
+  FROM (SELECT loan_key, term FROM numbered) GROUP BY ALL),
+places AS (SELECT loan_key, row_number() OVER (ORDER BY loan_key) - 1 AS i FROM accepted)
 SELECT loan_key, CAST(i // 5000 + 1 AS INT) AS batch, CAST(i % 5000 AS INT) AS "offset",
-  CAST((i // 5000 + 1) * 1000000 + i % 5000 AS BIGINT) AS case_id, 384 AS dimensions,
-  true AS filled FROM numbered""",
+  CAST((i // 5000 + 1) * 1000000 + i % 5000 AS BIGINT) AS case_id, 384 AS dimensions, position,
+  {r("CAST(n / sqrt(sum(n * n) OVER (PARTITION BY loan_key)) AS FLOAT)")} AS value
+FROM counts JOIN places USING (loan_key)""",
 )
 
 
 @query
 def application_cases(spark, sf):
-    """Similar past loans of every application by text; rows only, as term hashing is Spark's."""
+    """Similar past loans of every application by text; rows only: SQL would compare all pairs."""
     apps = standin(spark, sf, "application")
     asked = cases.text_vectors(apps.withColumn("text", application_text(apps)), "text")
     history = standin(spark, sf, "accepted").withColumnsRenamed(loans.ACCEPTED_NAMES)
