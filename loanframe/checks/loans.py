@@ -364,8 +364,7 @@ FROM labels"""
 @query
 def shuffled_sample(spark, sf):
     sample = loans.balanced_sample(_classed(spark, sf), "class", "loan_key", PER_CLASS)
-    order = sampling.shuffled(sample, "loan_key")
-    return order.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("loan_key").alias("keys"))
+    return sampling.shuffled_positions(sample, "loan_key").select("loan_key", "position")
 
 
 ORACLE["shuffled_sample"] = with_standins(
@@ -373,7 +372,7 @@ ORACLE["shuffled_sample"] = with_standins(
     f"""WITH {HASHED}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY class ORDER BY h, loan_key) AS rank FROM hashed
   WHERE class IS NOT NULL)
-SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT loan_key) AS BIGINT) AS keys
+SELECT loan_key, row_number() OVER (ORDER BY h, loan_key) - 1 AS position
 FROM ranked WHERE rank <= {PER_CLASS}""",
 )
 
