@@ -11,7 +11,7 @@ pairs, the links of each vector and for each connected part the smallest id.
 
 How much the triangle inequality saves depends on the vectors. The number of pivots is chosen from a
 bounded sample by the estimated work; where distances concentrate (random vectors of many dimensions)
-few pivots are chosen and the join is a plain blockwise one.
+nearly every vector goes to every cell, few pivots are chosen and the work is that of all pairs of blocks.
 
 Null, zero or non-finite vectors and vectors without an id link with nothing; the latter have a null
 component and are not kept. Vectors of different lengths have no cosine and do not link. Rows that
@@ -38,8 +38,10 @@ SAMPLE_ROWS = 2048
 BLOCK_ROWS = 8192
 #: Rows of a block compared at once.
 STRIP_ROWS = 512
-#: What copying a row costs, in comparisons of two rows.
+#: What copying a row to a task costs, in comparisons of two rows.
 COPY_COST = 3000
+#: More pivots are taken as long as they cost no more than this share above the best.
+PREFER = 1.05
 SLACK = 1e-7
 
 
@@ -71,7 +73,7 @@ def _goes(d: np.ndarray, radius: np.ndarray, reach: float) -> np.ndarray:
 
 
 def _pivots(vectors: DataFrame, reach: float) -> np.ndarray:
-    """Pivots drawn by hash; of 1, 4, 16, .. the number with the least estimated work."""
+    """Pivots drawn by hash; of 1, 4, 16, .. the most that cost about the least, as a sample tells."""
     rows = vectors.count()
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     drawn = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -86,11 +88,14 @@ def _pivots(vectors: DataFrame, reach: float) -> np.ndarray:
         d = _distances(x, pivots)
         home = d.argmin(1)
         radius = np.array([d[home == j, j].max() if (home == j).any() else -np.inf for j in range(count)])
-        goes = _goes(d, radius, reach)
-        compared = (np.bincount(home, minlength=count) * goes.sum(0)).sum() / len(x) ** 2 * float(rows) ** 2
-        cost = compared + COPY_COST * rows * goes.sum() / len(x) + rows * count
-        if cost < least:
-            best, least = pivots, cost
+        at_home = np.bincount(home, minlength=count) * rows / len(x)
+        in_cell = _goes(d, radius, reach).sum(0) * rows / len(x)
+        blocks = lambda n: np.ceil(n / BLOCK_ROWS)
+        copies = (at_home * blocks(in_cell) + in_cell * blocks(at_home)).sum()
+        cost = (at_home * in_cell).sum() + COPY_COST * copies + float(rows) * count
+        if cost <= PREFER * least:
+            best = pivots
+        least = min(least, cost)
         count *= 4
     return best
 
