@@ -73,7 +73,7 @@ class Vocabulary:
     byte_ids: np.ndarray
     blob: np.ndarray
     offsets: np.ndarray
-    single: frozenset
+    alone: np.ndarray
 
     @classmethod
     def load(cls, model: bytes, sharpness: float) -> Vocabulary:
@@ -102,15 +102,21 @@ class Vocabulary:
         order = np.argsort(hashes)
         ids = np.array([found.get(names[o], -1) for o in order], np.int64)
         lengths = np.array([len(d) for d in data])
+        alone = np.zeros(LITERAL + 1, bool)
+        alone[[ord(p) for p in found if len(p) == 1]] = True
         # Where the hashes with given upper bits begin; at most ``crowd`` share them.
         near = np.searchsorted(hashes[order], np.arange(1 << TABLE_BITS, dtype=np.uint64) << np.uint64(64 - TABLE_BITS))
         crowd = int(np.diff(np.append(near, len(order))).max())
         return cls(
             hashes[order], near.astype(np.int32), crowd, ids, weights, max(map(len, found)), byte_ids,
             np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum(lengths))),
-            frozenset(ord(p) for p in found if len(p) == 1),
+            alone,
         )
 
+    def has_piece(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a character alone is a piece."""
+        return self.alone[np.minimum(codes, len(self.alone) - 1)]
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the prefix, whether it is one) for each hash."""
         at = self.near[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
@@ -150,18 +156,17 @@ class _Lattice:
         self.lengths = (ends - starts)[first]
 
         # Distinct units side by side; node k of a unit stands before its character k.
-        at = np.repeat(starts[first], self.lengths)
         begin = np.cumsum(self.lengths) - self.lengths
-        at = at + np.arange(len(at)) - np.repeat(begin, self.lengths)
-        unit = np.repeat(np.arange(len(first)), self.lengths)
-        limit = np.repeat(ends[first], self.lengths)
         self.begin = begin + np.arange(len(first))  # one more node than characters in each unit
-        node = np.arange(len(at)) + unit
+        places = np.arange(int(self.lengths.sum()), dtype=np.int32)
+        at = places + np.repeat((starts[first] - begin).astype(np.int32), self.lengths)
+        until = np.repeat(ends[first].astype(np.int32), self.lengths) - at
+        node = places + np.repeat(np.arange(len(first), dtype=np.int32), self.lengths)
         codes_at = codes[at]
 
         src, dst, piece = [], [], []
         # Starts whose characters so far are the prefix of some piece, one character more each turn.
-        live, until, base, turn = node, limit - at, sums[at], back[at] * SPREAD
+        live, base, turn = node, sums[at], back[at] * SPREAD
         end = at
         for size in range(1, v.longest + 1):
             fits = until >= size
@@ -176,25 +181,36 @@ class _Lattice:
             src.append(live[ok])
             dst.append(live[ok] + size)
             piece.append(ids[ok])
-        spelled = np.flatnonzero(~np.isin(codes_at, np.fromiter(v.single, np.uint32)))
+        spelled = np.flatnonzero(~v.has_piece(codes_at))
         src.append(node[spelled])
         dst.append(node[spelled] + 1)
         piece.append(-1 - codes_at[spelled].astype(np.int64))
-        src, dst, piece = np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
-        order = np.argsort(dst, kind="stable")
-        self.src, dst, self.piece = src[order], dst[order], piece[order]
+        # Edges side by side by the node they end in: those of one size end in different nodes.
+        nodes = len(at) + len(first)
+        many = np.zeros(nodes, np.int32)
+        for d in dst:
+            many[d] += 1
+        self.edge_at = np.concatenate(([0], np.cumsum(many)))
+        slot = self.edge_at[:-1].astype(np.int32)
+        total = int(many.sum())
+        self.src, self.piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        for a, d, p in zip(src, dst, piece):
+            here = slot[d]
+            self.src[here], self.piece[here] = a, p
+            slot[d] = here + 1
+        del src, piece
+        dst = np.repeat(np.arange(nodes, dtype=np.int32), many)
         width = dst - self.src
         log_w = np.where(self.piece >= 0, v.weights[np.maximum(self.piece, 0)], BYTES_WEIGHT)
         self.log_w = log_w
         w = np.exp(log_w + LIFT * width)
 
-        nodes = len(at) + len(first)
         alpha = np.zeros(nodes)
         alpha[self.begin] = 1.0
         depth = np.arange(nodes) - np.repeat(self.begin, self.lengths + 1)
-        edge_depth = depth[dst]
+        edge_depth = depth.astype(np.uint8)[dst]  # a unit has at most UNIT characters
         by_depth = np.argsort(edge_depth, kind="stable")
-        cuts = np.searchsorted(edge_depth[by_depth], np.arange(1, int(self.lengths.max(initial=0)) + 2))
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(edge_depth, minlength=2))))[1:]
         share = np.zeros(len(dst))
         for a, b in zip(cuts, cuts[1:]):
             e = by_depth[a:b]
@@ -205,7 +221,7 @@ class _Lattice:
             heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
             alpha[to[heads]] = np.add.reduceat(values, heads)
             share[e] = values / alpha[to]
-        self.share, self.dst = share, dst
+        self.share = share
         # Edges into a node as steps of a ladder: node number plus the share up to the edge.
         running = np.cumsum(share)
         heads = np.flatnonzero(np.concatenate(([True], dst[1:] != dst[:-1]))) if len(dst) else np.empty(0, int)
@@ -219,7 +235,7 @@ class _Lattice:
 
     def into(self, node: int) -> tuple[int, int]:
         """The edges that end in a node."""
-        return int(np.searchsorted(self.dst, node)), int(np.searchsorted(self.dst, node, "right"))
+        return int(self.edge_at[node]), int(self.edge_at[node + 1])
 
     def path(self, node: int, begin: int, ids: list[int]) -> list[int]:
         """The edges of a segmentation, from the end of its unit."""
@@ -501,7 +517,7 @@ def encode(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = _Sampler(sent.value, samples, seed)
         for batch in batches:
-            for part in slices(batch["__text"], 1 << 22):
+            for part in slices(batch["__text"]):
                 rows = batch.iloc[part]
                 made = list(sampler(rows["__key"].to_numpy(np.int64).view(np.uint64), rows["__text"]))
                 out = rows[others].iloc[[m[0] for m in made]].reset_index(drop=True)
