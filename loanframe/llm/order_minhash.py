@@ -33,8 +33,8 @@ PARTS = 1 << PART_BITS
 POSITION_BITS = 24
 POSITIONS = (1 << POSITION_BITS) - 1
 HASHES = (1 << 40) - 1
-#: xxhash64 of an array without elements: a part that no k-mer falls into.
-EMPTY = 42
+#: The value of a part that no k-mer falls into: xxhash64 of an empty array, cut like the others.
+EMPTY = 42 >> 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,7 +94,7 @@ def _numbered(packed: Column) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """The values of all parts of a text, ``EMPTY`` for a part without k-mers."""
+    """The values of all parts of a text, 32 bits each, ``EMPTY`` for a part without k-mers."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     words = F.filter(F.split(trimmed, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.xxhash64(a, b))
@@ -115,7 +115,7 @@ def signature(text: Column) -> Column:
                 ),
             )
         )
-        return F.xxhash64(F.transform(turned, lambda x: x.bitwiseAND(F.lit(HASHES))))
+        return F.shiftright(F.xxhash64(F.transform(turned, lambda x: x.bitwiseAND(F.lit(HASHES)))), 32).cast("int")
 
     def values(rows: Column) -> Column:
         return F.transform(
@@ -128,7 +128,7 @@ def signature(text: Column) -> Column:
 
 def as_text(values: Column) -> Column:
     """Eight hexadecimal digits for each part, dashes where it is empty."""
-    digits = lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
+    digits = lambda x: F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")
     return F.array_join(F.transform(values, lambda x: F.when(x == EMPTY, "--------").otherwise(digits(x))), "")
 
 
@@ -167,10 +167,14 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_id, next_text): the start of the next text, a quarter of the own at least."""
-    docs = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    """(doc_id, text, next_id, next_text, next_signature).
+
+    ``next_text`` is the start of the next text, a quarter of the own length at least. Texts are dealt
+    by id once; the neighbour's start and signature travel, not its text.
+    """
+    # A needless cast or alias would make the two uses of the exchange below differ.
+    key = F.col("doc_id") if docs.schema["doc_id"].dataType.typeName() == "long" else F.col("doc_id").cast("bigint").alias("doc_id")
+    docs = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     quarters = (
         docs.where("doc_id IS NOT NULL")
         .groupBy("doc_id")
@@ -179,7 +183,8 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     asked = quarters.join(next_ids(quarters), "doc_id").select(
         F.col("doc_id").alias("asker"), "next_id", "quarter"
     )
-    dealt = docs.repartition("doc_id")
+    # The same exchange serves both joins below, as both read it with the same filter.
+    dealt = docs.where("doc_id IS NOT NULL").repartition("doc_id")
     given = (
         dealt.join(asked.hint("shuffle_hash"), F.col("doc_id") == F.col("next_id"))
         .select(
@@ -188,14 +193,16 @@ def with_next_text(docs: DataFrame) -> DataFrame:
             F.struct(
                 F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
                 F.col("text").substr(F.lit(1), F.col("quarter")).alias("start"),
+                signature(F.col("text")).alias("signature"),
             ).alias("given"),
         )
         .groupBy("asker", "next_id")
         .agg(F.min("given").alias("given"))
     )
-    return dealt.join(given, F.col("doc_id") == F.col("asker"), "left").select(
-        "doc_id", "text", "next_id", F.col("given.start").alias("next_text")
+    found = dealt.join(given, F.col("doc_id") == F.col("asker"), "left").select(
+        "doc_id", "text", "next_id", F.col("given.start").alias("next_text"), F.col("given.signature").alias("next_signature")
     )
+    return found.unionByName(docs.where("doc_id IS NULL"), allowMissingColumns=True)
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,24 +216,22 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     made = docs.select(
         "doc_id",
-        "next_id",
         n.cast("bigint").alias("n_chars"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
         F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
         signature(F.col("text")).alias("own"),
         signature(edited).alias("other"),
+        "next_signature",
     )
-    stands = made.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.min(F.struct("sha", "own")).getField("own").alias("next_own")
-    )
-    return made.join(stands, F.col("next_id") == F.col("__id"), "left").select(
+    # Each signature is used several times below; an explode keeps Spark from computing it each time.
+    made = made.select(F.explode(F.array(F.struct("*"))).alias("m")).select("m.*")
+    return made.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        likeness(F.col("own"), F.col("next_signature")).alias("near_next"),
     )
 
 

@@ -257,7 +257,7 @@ def plain_signature(text):
         value = 42
         for h, _ in sorted(mine, key=lambda x: (x[1], x[0] & (1 << 40) - 1)):
             value = number(h & (1 << 40) - 1, value)
-        out.append(signed(value))
+        out.append(signed(value) >> 32)
     return out
 
 
