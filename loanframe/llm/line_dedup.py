@@ -9,7 +9,8 @@ its filter, which a Bloom filter could not do. Inserting documents and deleting
 gives the store, and the kept texts, of before.
 
 Rows with a null doc_id cannot be referred to: their lines all stay. A null or empty text is one
-empty line. Rows that repeat a doc_id are one document for the counts and each keeps its own row.
+empty line. Rows that repeat a doc_id are one document for the counts and each keeps its own row and
+text: the lines that go are found by doc_id and a hash of the text.
 """
 
 from __future__ import annotations
@@ -131,10 +132,10 @@ def empty_store(spark: SparkSession, shards: int) -> LineStore:
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(doc_id, pos, key) of every line long enough to count; key is 16 bytes of md5."""
+    """(doc_id, text_hash, pos, key) of every line long enough to count; key is 16 bytes of md5."""
     for batch in batches:
-        ids, at, keys = [], [], []
-        for doc, text in zip(batch.doc_id, batch.text):
+        ids, marks, at, keys = [], [], [], []
+        for doc, mark, text in zip(batch.doc_id, batch.text_hash, batch.text):
             # On UTF-8 bytes lower() changes A-Z alone.
             for pos, line in enumerate(text.encode("utf-8", "surrogatepass").lower().split(b"\n")):
                 line = line.strip(BLANKS.encode())
@@ -142,20 +143,29 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     len(line) >= 4 * MIN_POINTS or len(line.decode("utf-8", "surrogatepass")) >= MIN_POINTS
                 ):
                     ids.append(doc)
+                    marks.append(mark)
                     at.append(pos)
                     keys.append(hashlib.md5(line).digest())
-        yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "pos": np.array(at, np.int32), "key": keys})
+        yield pd.DataFrame(
+            {
+                "doc_id": np.array(ids, np.int64),
+                "text_hash": np.array(marks, np.int64),
+                "pos": np.array(at, np.int32),
+                "key": keys,
+            }
+        )
 
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, key) of all lines that count, written once for the steps that read them.
+    """(doc_id, text_hash, pos, key) of all lines that count, written once for the steps that read them.
 
-    The key is the line with blanks stripped at both ends and A-Z in lower case.
+    The key is the line with blanks stripped at both ends and A-Z in lower case. Positions belong to a
+    text, so its hash goes with them: rows may share an id and differ in their texts.
     """
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text"
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"
     )
-    return landed(rows.mapInPandas(_keys, "doc_id bigint, pos int, key binary"), "line-keys")
+    return landed(rows.mapInPandas(_keys, "doc_id bigint, text_hash bigint, pos int, key binary"), "line-keys")
 
 
 def _sharded(keyed: DataFrame, shards: int) -> DataFrame:
@@ -250,7 +260,7 @@ def seen_keys(store: LineStore, keyed: DataFrame) -> DataFrame:
 
 
 def dropped_lines(store: LineStore, keyed: DataFrame) -> DataFrame:
-    """(doc_id, dropped): per document of the store the sorted positions of the lines that go."""
+    """(doc_id, text_hash, dropped): per document and text the sorted positions of the lines that go."""
     keyed = _sharded(keyed, store.shards)
     repeated = (
         store.refs.join(seen_keys(store, keyed), ["shard", "key"], "left_semi")
@@ -259,7 +269,7 @@ def dropped_lines(store: LineStore, keyed: DataFrame) -> DataFrame:
         .where("docs >= 2")
     )
     goes = keyed.join(repeated, ["shard", "key"]).where(F.col("doc_id") > F.col("first_doc"))
-    return goes.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return goes.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
 def _kept_text(texts: pd.Series, dropped: pd.Series) -> pd.Series:
@@ -279,9 +289,12 @@ def dedup(store: LineStore, docs: DataFrame, keyed: DataFrame | None = None) ->
     Adds ``kept_text``, ``n_lines`` and ``n_dropped``. A row whose doc_id is null keeps all lines.
     """
     keyed = keyed_lines(docs) if keyed is None else keyed
-    gone = dropped_lines(store, keyed).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__gone"))
+    gone = dropped_lines(store, keyed).select(
+        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__gone")
+    )
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__doc"), "left")
+    own = (F.col("doc_id").cast("bigint") == F.col("__doc")) & (F.xxhash64("text") == F.col("__hash"))
+    joined = docs.join(gone, own, "left")
     # Only texts that change go through Python.
     cut = F.pandas_udf(_kept_text, "string")(F.when(F.col("__gone").isNotNull(), text), "__gone")
     return joined.withColumns(
@@ -290,7 +303,7 @@ def dedup(store: LineStore, docs: DataFrame, keyed: DataFrame | None = None) ->
             "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint"),
             "kept_text": F.coalesce(cut, text),
         }
-    ).drop("__doc", "__gone")
+    ).drop("__doc", "__hash", "__gone")
 
 
 def stored(docs: DataFrame, keyed: DataFrame | None = None) -> LineStore:

@@ -35,6 +35,15 @@ def test_line_dedup_against_plain_python(spark):
         assert tuple(r)[2:] == want[(r.doc_id, r.text)]
 
 
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(1, "first common line\nsecond common line"), (2, "first common line\nclean line of A"),
+            (2, "clean line of B\nsecond common line"), (2, None)]
+    docs = frame(spark, rows)
+    got = {r.text: (r.n_dropped, r.kept_text) for r in line_dedup.dedup(line_dedup.stored(docs), docs).collect()}
+    assert got == {rows[0][1]: (0, rows[0][1]), rows[1][1]: (1, "clean line of A"),
+                   rows[2][1]: (1, "clean line of B"), None: (0, "")}
+
+
 def test_line_store_is_reversible(spark):
     rows = [r for r in line_rows() if r[0] is not None]
     old, new = frame(spark, rows[:30]), frame(spark, rows[30:])
