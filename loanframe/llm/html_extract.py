@@ -5,7 +5,9 @@ grandparent, a third to the next. A container's points are discounted by its lin
 of its text that stands in links. The best container is kept, and those of its siblings that score
 well or are long paragraphs with few links. Where the best container lies in an article element, the
 whole article is meant. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are taken out of the tree beforehand, by element, role and class.
+and reader comments are taken out of the tree beforehand, by element, role and class. What holds the
+article stays, whatever its class says, as does a form that holds most paragraphs of the page. Inside
+an article, a class of comments counts only where the element is built like a list of comments.
 
 The markup is read as browsers mend it: a paragraph ends where the next block begins, an end tag
 without a start is passed over, open elements end with the one around them. Character references are
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +48,10 @@ OUT_WORDS = frozenset(
     "legal copyright disclaimer skip".split()
 )
 COMMENT_WORDS = frozenset("comment comments disqus respond reply replies discussion commentlist".split())
+#: Beside a comment word in one name of a class these speak of a state of the page: comments-open.
+STATE_WORDS = frozenset("open opened closed no not has have with without on off enabled disabled allowed status count".split())
+#: Code points of text directly in a div or cell that make it a paragraph.
+PARAGRAPH_POINTS = 80
 #: Elements that end when one of the second begins inside them.
 ENDS = {
     "li": frozenset(["li"]),
@@ -160,19 +167,41 @@ def _attributes(mark: str) -> dict[str, str]:
 
 def _taken_out(page: Page) -> list[bool]:
     """For each element whether it, or one around it, is no part of an article."""
-    n = len(page.tags)
+    n, tags, parents = len(page.tags), page.tags, page.parents
+    comments = [_of_comments(mark) for mark in page.marks]  # what their class says, "" for others
+    in_comments, nested = [False] * n, [False] * n
+    for i in range(1, n):
+        up = parents[i]
+        in_comments[i] = in_comments[up] or bool(comments[up]) and tags[up] not in ("html", "body", "main", "article")
+        nested[i] = nested[up] or tags[up] == "article"
+    # Articles that are comments themselves: marked ones in an article, or those among comments where
+    # the page has its article or, for marked ones, its heading elsewhere.
+    free = {tags[i] for i in range(1, n) if tags[i] in ("article", "h1") and not in_comments[i] and not comments[i]}
+    answer = [
+        tags[i] == "article"
+        and (nested[i] and bool(comments[i]) or in_comments[i] and (nested[i] or "article" in free or bool(comments[i]) and "h1" in free))
+        for i in range(n)
+    ]
     holds_article = [False] * n  # an article, a main element or a first heading lies inside
+    holds_main = [False] * n  # the same; of headings only where the page has neither
+    bare = not any(tags[i] == "main" or tags[i] == "article" and not answer[i] for i in range(1, n))
+    lists = [False] * n  # an entry or a form of comments lies inside
+    entries = Counter((parents[i], tags[i], comments[i]) for i in range(1, n) if comments[i])
     for i in range(n - 1, 0, -1):
-        if holds_article[i] or page.tags[i] in ("article", "main", "h1"):
-            holds_article[page.parents[i]] = True
+        up, meant = parents[i], tags[i] == "main" or tags[i] == "article" and not answer[i]
+        holds_article[up] |= not answer[i] and (holds_article[i] or meant or tags[i] == "h1")
+        holds_main[up] |= not answer[i] and (holds_main[i] or meant or bare and tags[i] == "h1")
+        lists[up] |= lists[i] or bool(comments[i]) or tags[i] in ("form", "textarea")
+    page_wide = _page_wide_forms(page)
     out, in_article = [False] * n, [False] * n
     for i in range(1, n):
-        up, tag = page.parents[i], page.tags[i]
+        up, tag = parents[i], tags[i]
         in_article[i] = in_article[up] or tag in ("article", "main")
         if out[up]:
             out[i] = True
             continue
-        if tag in RAW or tag in OUT_TAGS and not (tag == "form" and holds_article[i]):
+        holds = holds_article[i] or i in page_wide
+        if tag in RAW or tag in OUT_TAGS and not (tag == "form" and holds):
             out[i] = True
         elif tag == "header":
             out[i] = not in_article[i]
@@ -184,15 +213,52 @@ def _taken_out(page: Page) -> list[bool]:
             out[i] = True
             continue
         if about.get("role", "").lower() in OUT_ROLES:
-            out[i] = not (holds_article[i] and about["role"].lower() == "form")
+            out[i] = not (holds and about["role"].lower() == "form")
         said = set(_WORDS.findall(f"{about.get('class', '')} {about.get('id', '')}".lower()))
-        if said & COMMENT_WORDS:
-            out[i] = True
-        elif said & OUT_WORDS and tag != "article" and not holds_article[i]:
+        if tag == "article":
+            out[i] = out[i] or answer[i]
+        elif comments[i] and not holds_main[i] and i not in page_wide:
+            like_list = lists[i] or tag in ("ol", "ul", "li") or entries[up, tag, comments[i]] > 1
+            out[i] = out[i] or like_list or not in_article[i]
+        elif said & OUT_WORDS and not holds:
             out[i] = True
     return out
 
 
+def _of_comments(mark: str) -> str:
+    """The class (or id) if a name in them means comments, and not only whether there may be some."""
+    if "=" not in mark:
+        return ""
+    about = _attributes(mark)
+    names = f"{about.get('class', '')} {about.get('id', '')}".lower()
+    said = (set(_WORDS.findall(name)) for name in names.split())
+    if any(words & COMMENT_WORDS and not words & STATE_WORDS for words in said):
+        return about.get("class") or about["id"]
+    return ""
+
+
+def _page_wide_forms(page: Page) -> set[int]:
+    """The forms that hold more than half of the paragraphs of a page."""
+    n, tags, parents = len(page.tags), page.tags, page.parents
+    if "form" not in tags:
+        return set()
+    block_of, raw = list(range(n)), [False] * n
+    for i in range(1, n):
+        raw[i] = raw[parents[i]] or tags[i] in RAW or tags[i] in OUT_TAGS and tags[i] != "form"
+        if tags[i] not in BLOCK:
+            block_of[i] = block_of[parents[i]]
+    size = [0] * n
+    for node, text in page.events:
+        if text is not None and not raw[node]:
+            size[block_of[node]] += len(" ".join(text.split()))
+    inside = [
+        int(size[i] > 0 and tags[i] == "p" or size[i] >= PARAGRAPH_POINTS and tags[i] not in HEADING) for i in range(n)
+    ]
+    for i in range(n - 1, 0, -1):
+        inside[parents[i]] += inside[i]
+    return {i for i in range(1, n) if tags[i] == "form" and 2 * inside[i] > inside[0]}
+
+
 def _blocks(page: Page, kept: list[bool]) -> list[str]:
     blocks, now = [], []
     for node, text in page.events:

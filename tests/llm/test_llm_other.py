@@ -222,6 +222,28 @@ def test_pages(spark):
     assert html_extract.extract(docs.limit(0)).count() == 0
 
 
+COMMENTS = "<li class=comment><article class=comment-body><p>Nice, really, thanks, a lot, for all of this, my friend.</p></article></li>"
+
+
+@pytest.mark.parametrize("page,kept,gone", [
+    (f"<article class='post comments-open'><p>{ARTICLE}</p></article><p>Other.</p>", [ARTICLE], []),
+    (f"<article class='post discussion'><p>{ARTICLE}</p></article>", [ARTICLE], []),
+    (f"<div class='site no-comments'><article><p>{ARTICLE}</p></article></div>", [ARTICLE], []),
+    (f"<div class=discussion><main><p>{ARTICLE}</p></main></div>", [ARTICLE], []),
+    (f"<article><p>{ARTICLE}</p><section id='discussion'><h2>Discussion</h2><p>It holds, we think.</p></section></article>",
+     [ARTICLE, "It holds, we think."], []),
+    (f"<article><p>{ARTICLE}</p><div id=comments><ol>{COMMENTS * 2}</ol></div></article>", [ARTICLE], ["Nice"]),
+    (f"<article><p>{ARTICLE}</p><div class=comment><p>Nice, a</p></div><div class=comment><p>Nice, b</p></div></article>", [ARTICLE], ["Nice"]),
+    (f"<article><p>{ARTICLE}</p></article><div id=comments><h1>Comments</h1><ol>{COMMENTS * 9}</ol></div>", [ARTICLE], ["Nice"]),
+    (f"<div class=post><h1>T</h1><p>{ARTICLE}</p></div><div id=comments><ol>{COMMENTS * 9}</ol></div>", [ARTICLE], ["Nice"]),
+    (f"<form id=aspnetForm><div><h2>T</h2><p>{ARTICLE}</p><p>{ARTICLE}</p></div></form>", [ARTICLE], []),
+    (f"<div><p>{ARTICLE}</p><p>{ARTICLE}</p></div><form><p>Your name, please</p></form>", [ARTICLE], ["Your name"]),
+])
+def test_articles_are_kept_whatever_is_said_of_comments(page, kept, gone):
+    text = html_extract.main_text(f"<html><body>{page}</body></html>")
+    assert all(k in text for k in kept) and not any(g in text for g in gone), text
+
+
 def test_pages_of_any_markup_and_depth():
     rng = random.Random(7)
     bits = ["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<table><tr><td>", "</table>", "<li>", "word, ", "&amp;", "<", "<a href='", "'>", "<br/>", "<!--", "-->"]
