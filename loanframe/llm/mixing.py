@@ -6,11 +6,12 @@ due by slot ceil(i / w); the earliest deadline among the released blocks takes t
 one block per slot and weights that sum to 1 every deadline is met, and after any number of slots a
 source is less than one block away from its share.
 
-Weights are whole numbers a of a period A (their sum). Releases and deadlines then repeat every A
-slots, so the schedule of one period says everything: block i of a source goes to slot
-``A * ((i - 1) div a) + slot of its ((i - 1) mod a) in the period``. Only the period, a table of A
-rows, is made on the driver; A is a parameter of some thousands, whatever the data. Positions of rows
-within their source come from counts per hash range, never from a sort of a whole source.
+Releases and deadlines follow from the weights as given, in exact arithmetic over the whole length,
+so the promise holds at any slot: there is no period whose rounding would add up. Only blocks that
+exist are scheduled. One task deals them out in the order of slots, with the next block of each source
+in memory and the plan written as it goes; everything about rows is joins and counts. Positions of rows
+within their source come from counts per hash range, never from a sort of a whole source. A ``period``
+asks for weights rounded to whole shares of so many slots instead, for those who want a plan that repeats.
 
 A source that has run out leaves its slots empty, so all rows are kept and the others stay in step:
 up to the slot where the first source ends the mixture holds the target weights. Sources without a
@@ -22,18 +23,23 @@ are interchangeable, and rows that share a key are all kept.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import table
+from loanframe.llm.common import landed, table
 
 PERIOD = 1000
 BLOCK_ROWS = 16
-#: Most sources that can have a weight of their own; the period grows with them.
-MAX_SOURCES = 100_000
+#: Blocks of the plan written at a time.
+PLAN_ROWS = 100_000
 #: Rows of the table meant for one piece of the hash range.
 RANGE_ROWS = 50_000
 
@@ -46,8 +52,6 @@ def whole_weights(weights: Mapping, period: int = PERIOD) -> dict:
     if any(w < 0 for w in weights.values()):
         raise ValueError("a weight is negative")
     weights = {k: float(w) for k, w in weights.items() if w > 0}
-    if len(weights) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} weighted sources")
     if not weights:
         return {}
     period = max(period, 10 * len(weights))
@@ -61,25 +65,50 @@ def whole_weights(weights: Mapping, period: int = PERIOD) -> dict:
     return whole
 
 
-def schedule(whole: Mapping) -> list[tuple]:
-    """(source, index in the period, slot) of each block of one period, earliest deadline first."""
-    period = sum(whole.values())
-    names = sorted(whole, key=lambda k: (k is not None, k))
-    waiting = [(0, n) for n in range(len(names))]  # (release, source)
-    heapq.heapify(waiting)
-    done = [0] * len(names)
-    ready: list[tuple[int, int]] = []
-    out = []
-    for slot in range(period):
+def deal(weights: Sequence, blocks: Sequence[int]) -> Iterator[tuple[int, int, int]]:
+    """(source, block, slot) in the order of slots: the earliest deadline among the released blocks.
+
+    Sources are numbered as in ``weights``, of any sum; ``blocks`` says how many each has.
+    """
+    exact = [Fraction(w) for w in weights]
+    common = lcm(*(f.denominator for f in exact))
+    parts = [f.numerator * (common // f.denominator) for f in exact]
+    total = sum(parts)
+    waiting = [(0, n) for n, many in enumerate(blocks) if many]  # (release, source)
+    done = [0] * len(parts)
+    ready: list[tuple[int, int]] = []  # (deadline, source)
+    slot = 0
+    while waiting or ready:
+        if not ready:  # a slot of sources that have run out
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             n = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (-(-(done[n] + 1) * period // whole[names[n]]), n))
+            heapq.heappush(ready, (-(-(done[n] + 1) * total // parts[n]), n))
         n = heapq.heappop(ready)[1]
-        out.append((names[n], done[n], slot))
+        yield n, done[n], slot
         done[n] += 1
-        if done[n] < whole[names[n]]:
-            heapq.heappush(waiting, (done[n] * period // whole[names[n]], n))
-    return out
+        slot += 1
+        if done[n] < blocks[n]:
+            heapq.heappush(waiting, (done[n] * total // parts[n], n))
+
+
+def schedule(whole: Mapping) -> list[tuple]:
+    """(source, index in the period, slot) of each block of one period, earliest deadline first."""
+    names = sorted(whole, key=lambda k: (k is not None, k))
+    shares = [whole[k] for k in names]
+    return [(names[n], index, slot) for n, index, slot in deal(shares, shares)]
+
+
+def _plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(__key, mix_block, mix_slot) of every block of the sources (__key, __num, __den, __blocks)."""
+    sources = sorted(row for batch in batches for row in batch.itertuples(index=False, name=None))
+    if not sources:
+        return
+    keys = np.array([s[0] for s in sources], object)
+    dealt = deal([Fraction(int(s[1]), int(s[2])) for s in sources], [s[3] for s in sources])
+    while rows := list(islice(dealt, PLAN_ROWS)):
+        source, block, slot = zip(*rows)
+        yield pd.DataFrame({"__key": keys[list(source)], "mix_block": block, "mix_slot": slot})
 
 
 def _source_key(source: str) -> Column:
@@ -112,47 +141,63 @@ def numbered(docs: DataFrame, key: str, order: list[str], name: str) -> DataFram
 
 def mix(
     docs: DataFrame,
-    weights: Mapping,
+    weights: Mapping | DataFrame,
     source: str = "source",
     order: tuple[str, ...] = ("doc_id",),
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
 ) -> DataFrame:
     """All columns of ``docs`` with the place of each row in the mixture.
 
+    ``weights`` maps sources to weights, or is a table (source, weight) where there are many.
     Adds ``mix_block`` (block within the source, from 0), ``mix_slot`` (null for a source without a
     weight) and ``mix_offset`` (within the block), replacing columns of these names. Sorting by
     (mix_slot, mix_offset), nulls last, gives the mixture.
     """
-    spark = docs.sparkSession
-    whole = whole_weights(weights, period)
-    length = sum(whole.values())
-    named = lambda k: "-" if k is None else f"={k}"
-    plan = spark.createDataFrame(
-        [(named(name), index, slot) for name, index, slot in schedule(whole)],
-        "__key string, __index bigint, __slot bigint",
-    )
-    shares = spark.createDataFrame([(named(n), a) for n, a in whole.items()], "__key string, __a bigint")
+    if period is not None:
+        weights = whole_weights(weights if isinstance(weights, Mapping) else dict(map(tuple, weights.collect())), period)
+    shares = _shares(docs.sparkSession, weights, source)
     rows = numbered(docs.withColumn("__key", _source_key(source)), "__key", list(order), "__row")
     rows = rows.withColumn("mix_block", (F.col("__row") / block_rows).cast("bigint")).withColumn(
         "mix_offset", (F.col("__row") % block_rows).cast("bigint")
     )
-    # One row per weighted source, and one per slot of the period: bounded by MAX_SOURCES.
-    rows = rows.join(F.broadcast(shares), "__key", "left").withColumn("__index", F.col("mix_block") % F.col("__a"))
-    return (
-        rows.join(F.broadcast(plan), ["__key", "__index"], "left")
-        .withColumn("mix_slot", F.lit(length) * F.floor(F.col("mix_block") / F.col("__a")) + F.col("__slot"))
-        .drop("__row", "__a", "__key", "__index", "__slot")
+    blocks = docs.groupBy(_source_key(source).alias("__key")).agg(
+        F.ceil(F.count("*") / block_rows).cast("bigint").alias("__blocks")
+    )
+    # One row per weighted source goes to the task that deals, one per block comes back.
+    plan = landed(
+        shares.join(blocks, "__key").coalesce(1).mapInPandas(_plan, "__key string, mix_block bigint, mix_slot bigint"),
+        "mix-plan",
     )
+    return rows.drop("mix_slot").join(plan, ["__key", "mix_block"], "left").drop("__row", "__key")
+
+
+def _shares(spark: SparkSession, weights: Mapping | DataFrame, source: str) -> DataFrame:
+    """(__key, __num, __den) of the weighted sources: the weight as an exact fraction, in digits."""
+    schema = "__key string, __num string, __den string"
+    if isinstance(weights, Mapping):
+        if any(w < 0 for w in weights.values()):
+            raise ValueError("a weight is negative")
+        exact = [("-" if k is None else f"={k}", Fraction(w)) for k, w in weights.items() if w > 0]
+        return spark.createDataFrame([(k, str(w.numerator), str(w.denominator)) for k, w in exact], schema)
+
+    def fractions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if (batch["weight"] < 0).any():
+                raise ValueError("a weight is negative")
+            exact = [float(w).as_integer_ratio() for w in batch["weight"]]
+            yield pd.DataFrame({"__key": batch["__key"], "__num": [str(a) for a, _ in exact], "__den": [str(b) for _, b in exact]})
+
+    given = weights.select(_source_key(source).alias("__key"), F.col("weight").cast("double").alias("weight"))
+    return given.where("weight <> 0 AND NOT isnan(weight)").mapInPandas(fractions, schema)
 
 
-def damped_weights(docs: DataFrame, source: str = "source", power: float = 0.5) -> dict:
-    """Target weights as a power of the rows of each source: small sources get more than their rows."""
-    counts = docs.groupBy(source).count().orderBy(F.desc("count"), source).limit(MAX_SOURCES + 1)
-    return {row[source]: row["count"] ** power for row in counts.collect()}
+def damped_weights(docs: DataFrame, source: str = "source", power: float = 0.5) -> DataFrame:
+    """(source, weight): a power of the rows of each source, so small ones get more than their rows."""
+    return docs.groupBy(source).agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
-def mixed(docs: DataFrame, weights: Mapping, source: str = "source", order: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping | DataFrame, source: str = "source", order: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """The columns of ``docs``, rows sorted into the mixture."""
     rows = docs.select(source, *[c for c in order if c != source], F.struct("*").alias("__doc"))
     placed = mix(rows, weights, source=source, order=order, **options)

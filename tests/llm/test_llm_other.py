@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -63,6 +64,32 @@ def test_mixture_holds_weights_and_all_rows(spark):
     assert sorted(map(key, again)) == sorted(map(key, placed))
 
 
+def test_given_weights_hold_over_a_long_run(spark):
+    weights = {"a": 0.7123456, "b": 0.2875543, "c": 0.0001001}
+    many = {"a": 28_000, "b": 11_500, "c": 3}
+    docs = spark.createDataFrame([(k, n) for k, n in many.items()], "source string, n int")
+    docs = docs.selectExpr("source", "explode(sequence(1, n)) AS doc_id")
+    total = sum(map(Fraction, weights.values()))
+    share = {k: Fraction(w) / total for k, w in weights.items()}
+    table_ = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    for given in (weights, table_):
+        slots = sorted((r.mix_slot, r.source) for r in mixing.mix(docs, given, block_rows=1).collect())
+        end = min(max(s for s, k in slots if k == source) for source in many)
+        assert end > 20_000 and len({s for s, _ in slots}) == sum(many.values())
+        done = Counter()
+        for t, (slot, source) in enumerate(slots[:end], 1):
+            done[source] += 1
+            assert slot == t - 1 and all(abs(done[k] - w * t) < 1 for k, w in share.items()), t
+
+
+def test_slots_go_on_when_sources_have_run_out():
+    got = list(mixing.deal([0.5, 0.3, 0.2], [2, 0, 400]))
+    assert len(got) == 402
+    for n, block, slot in got:
+        w = Fraction([0.5, 0.3, 0.2][n]) / sum(map(Fraction, (0.5, 0.3, 0.2)))
+        assert block / w // 1 <= slot < -(-(block + 1) / w // 1)
+
+
 def test_mixed_rows_keep_their_columns(spark):
     rows = [(i, f"s{i % 4}", i, "k") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, __doc int, __row string")
