@@ -30,6 +30,7 @@ from math import lcm
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -204,6 +205,30 @@ def mixed(docs: DataFrame, weights: Mapping | DataFrame, source: str = "source",
     return placed.orderBy(F.col("mix_slot").asc_nulls_last(), "mix_offset").select("__doc.*")
 
 
+def with_written_place(docs: DataFrame, name: str = "mix_place") -> DataFrame:
+    """All columns of ``docs`` and the place of each row (from 0) in the order it was written in.
+
+    Reading Parquet again loses the order between part files, but not their numbers nor the rows inside
+    them. Only the number of rows of each file is brought together. Rows that come from no file are
+    written first.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta.getField("row_index"))
+    except AnalysisException:
+        docs = landed(docs, "mixture")
+        meta = docs.metadataColumn("_metadata")
+    at = meta.getField("row_index").alias("__at")
+    path = meta.getField("file_path").alias("__file")
+    file = F.regexp_extract(F.col("__file"), r"[^/]*$", 0)
+    number = lambda pattern: F.regexp_extract(file, pattern, 1).try_cast("bigint")
+    files = docs.select(path).groupBy("__file").agg(F.count("*").alias("__n"))
+    earlier = W.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)\."), "__file").rowsBetween(W.unboundedPreceding, -1)
+    files = files.select("__file", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rows = docs.select("*", path, at).join(F.broadcast(files), "__file")
+    return rows.withColumn(name, F.col("__before") + F.col("__at")).drop("__file", "__before", "__at")
+
+
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block, slot and offset of each document for weights that follow the root of the rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loanframe.llm import registry, segmentation
+from loanframe.llm import mixing, registry, segmentation
 from loanframe.llm.common import landed
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -73,6 +73,38 @@ def test_stages(spark, tmp_path):
     assert kept[0] > kept[2] == kept[3]
 
 
+@pytest.mark.parametrize("several", [False, True])
+def test_every_prefix_holds_the_weights_after_the_reread(spark, tmp_path, several):
+    many = {"a": 1600, "b": 400, None: 100}
+    rows = [(i * len(many) + k, f"text {i}", s, "x") for k, (s, n) in enumerate(many.items()) for i in range(n)]
+    random.Random(5).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __file string").repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, str(not several).lower())
+    try:
+        mixed = landed(corpus_pipeline.mix_sources(spark, docs, str(tmp_path)), "mixing")
+    finally:
+        spark.conf.set(coalesce, before)
+    assert (len(mixed.inputFiles()) > 5) == several
+    got = corpus_pipeline.encode_texts(spark, mixed, str(tmp_path)).where("sample = 0").orderBy("mix_place").collect()
+    assert [r.mix_place for r in got] == list(range(len(rows)))
+    share = {s: n**0.5 / sum(m**0.5 for m in many.values()) for s, n in many.items()}
+    end = min(max(r.mix_place for r in got if r.source == s) for s in many)
+    assert end > 500
+    done = dict.fromkeys(many, 0)
+    for r in got[: end + 1]:
+        done[r.source] += 1
+        assert all(abs(done[s] - w * (r.mix_place + 1)) < 2 * 16 for s, w in share.items())
+        if (r.mix_place + 1) % 16 == 0 and r.mix_place < end - 16:
+            assert all(abs(done[s] - w * (r.mix_place + 1)) < 16 for s, w in share.items())
+
+
+def test_written_place_of_rows_from_no_file(spark):
+    got = mixing.with_written_place(spark.range(20, numPartitions=3).orderBy(F.desc("id"))).collect()
+    assert sorted((r.mix_place, r.id) for r in got) == list(enumerate(range(19, -1, -1)))
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     small_tables(spark, str(tmp_path))
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
