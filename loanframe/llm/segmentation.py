@@ -3,8 +3,8 @@
 A text becomes a lattice: its characters, spaces as U+2581 with one more in front, and an edge for each
 piece of the vocabulary that fits; a character without a piece has one edge of its UTF-8 byte pieces.
 Pieces hold U+2581 only at their beginning, so the lattice falls apart into units (spaces with the
-characters behind them; line breaks; at most ``UNIT`` characters). The probability of a segmentation is
-the product of its pieces' weights over the sum for all segmentations.
+characters behind them; line breaks), which no piece crosses and which may be of any length. The
+probability of a segmentation is the product of its pieces' weights over the sum for all segmentations.
 
 The k segmentations with the largest Gumbel-perturbed log-probabilities are k draws without
 replacement. They are found best first: the maximum over all segmentations is drawn for the root, and
@@ -40,10 +40,11 @@ from loanframe.llm.wordhash import mix, pieces as slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 1.0
-UNIT = 48
+#: Characters of a unit over which products of weights stay within a double; behind them sums are of logs.
+LINEAR = 48
 #: Log-weight of a character spelled in bytes.
 BYTES_WEIGHT = -12.0
-#: Added per character to log-weights, so that products over a unit stay within a double.
+#: Added per character to log-weights, so that products over LINEAR characters stay within a double.
 LIFT = 4.0
 BLANK = 0x2581
 #: Stands for a literal U+2581 of the text, which has no piece.
@@ -208,17 +209,31 @@ class _Lattice:
         alpha = np.zeros(nodes)
         alpha[self.begin] = 1.0
         depth = np.arange(nodes) - np.repeat(self.begin, self.lengths + 1)
-        edge_depth = depth.astype(np.uint8)[dst]  # a unit has at most UNIT characters
+        # The narrowest type for the longest unit at hand: small ones sort faster.
+        edge_depth = depth.astype(np.min_scalar_type(int(self.lengths.max(initial=0))))[dst]
         by_depth = np.argsort(edge_depth, kind="stable")
         cuts = np.concatenate(([0], np.cumsum(np.bincount(edge_depth, minlength=2))))[1:]
         share = np.zeros(len(dst))
-        for a, b in zip(cuts, cuts[1:]):
+        log_alpha = None
+        for d, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
             e = by_depth[a:b]
             if not len(e):
                 continue
-            values = alpha[self.src[e]] * w[e]
             to = dst[e]
             heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            if d > LINEAR:
+                if log_alpha is None:
+                    with np.errstate(divide="ignore"):
+                        log_alpha = np.log(alpha)
+                values = log_alpha[self.src[e]] + log_w[e] + LIFT * width[e]
+                top = np.maximum.reduceat(values, heads)
+                many_at = np.diff(np.append(heads, len(e)))
+                values = np.exp(values - np.repeat(top, many_at))
+                sums = np.add.reduceat(values, heads)
+                log_alpha[to[heads]] = top + np.log(sums)
+                share[e] = values / np.repeat(sums, many_at)
+                continue
+            values = alpha[self.src[e]] * w[e]
             alpha[to[heads]] = np.add.reduceat(values, heads)
             share[e] = values / alpha[to]
         self.share = share
@@ -230,8 +245,9 @@ class _Lattice:
         self.ladder = dst + np.minimum(running - below, 1.0)
         if len(heads):
             self.ladder[np.append(heads[1:], len(dst)) - 1] = dst[heads] + 1.0
-        total = alpha[self.begin + self.lengths]
-        self.log_total = np.log(total) - LIFT * self.lengths
+        ends = self.begin + self.lengths
+        total = np.log(alpha[ends]) if log_alpha is None else log_alpha[ends]
+        self.log_total = total - LIFT * self.lengths
 
     def into(self, node: int) -> tuple[int, int]:
         """The edges that end in a node."""
@@ -239,33 +255,49 @@ class _Lattice:
 
     def path(self, node: int, begin: int, ids: list[int]) -> list[int]:
         """The edges of a segmentation, from the end of its unit."""
-        out = []
+        out, ids = [], list(ids)
         while node > begin:
             lo, hi = self.into(node)
             spelled = None
             for e in range(lo, hi):
                 if self.piece[e] == ids[-1]:
-                    ids = ids[:-1]
+                    ids.pop()
                     break
                 if self.piece[e] < 0:
                     spelled = e
             else:
                 e = spelled
                 code = -1 - int(self.piece[e])
-                ids = ids[: -len((chr(BLANK) if code == LITERAL else chr(code)).encode("utf-8", "surrogatepass"))]
+                del ids[-len((chr(BLANK) if code == LITERAL else chr(code)).encode("utf-8", "surrogatepass")) :]
             out.append(e)
             node = int(self.src[e])
         return out
 
-    def free(self, node: int, begin: int, paths: list[list[int]]) -> float:
-        """The share of segmentations up to a node that are none of the paths."""
-        if node == begin:
-            return 0.0
+    def free(self, node: int, begin: int, paths: list[list[int]]) -> tuple[list[dict[int, int]], list[float]]:
+        """The ends that paths share, as a tree, and at each of its places the share of segmentations up
+        to there that are none of the paths. The first place is the node; edges lead on."""
+        tree, nodes = [{}], [node]
+        for path in paths:
+            at = 0
+            for e in path:
+                if e not in tree[at]:
+                    tree[at][e] = len(tree)
+                    tree.append({})
+                    nodes.append(int(self.src[e]))
+                at = tree[at][e]
+        left = [0.0] * len(tree)
+        for at in range(len(tree) - 1, -1, -1):  # places come before those behind them
+            if nodes[at] > begin:
+                left[at] = float(self.shares(nodes[at], tree[at], left).sum())
+        return tree, left
+
+    def shares(self, node: int, on: dict[int, int], left: list[float]) -> np.ndarray:
+        """The shares of the edges into a node without the segmentations that are taken."""
         lo, hi = self.into(node)
         shares = self.share[lo:hi].copy()
-        for e in {p[0] for p in paths}:
-            shares[e - lo] *= self.free(int(self.src[e]), begin, [p[1:] for p in paths if p[0] == e])
-        return float(shares.sum())
+        for e, at in on.items():
+            shares[e - lo] *= left[at]
+        return shares
 
     def draw(self, units: np.ndarray, keys: np.ndarray):
         """(order, piece codes from the end of each unit, log-probabilities) for units with random keys.
@@ -347,9 +379,6 @@ def _codes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blank, line = codes == BLANK, codes == 0x0A
         begins[1:] = blank[1:] & ~blank[:-1] | line[1:] | line[:-1]
         begins[edges[:-1][sizes > 0]] = True
-        at = np.flatnonzero(begins)
-        offset = np.arange(len(codes)) - np.repeat(at, np.diff(np.append(at, len(codes))))
-        begins |= offset % UNIT == 0
     starts = np.flatnonzero(begins)
     return codes, starts, np.searchsorted(starts, edges)
 
@@ -458,26 +487,25 @@ class _Sampler:
         """The share of segmentations of a unit that are not taken."""
         begin = int(lattice.begin[unit])
         end = begin + int(lattice.lengths[unit])
-        return lattice.free(end, begin, [lattice.path(end, begin, np.frombuffer(t, np.uint16).tolist()) for t, _ in taken])
+        paths = [lattice.path(end, begin, np.frombuffer(t, np.uint16).tolist()) for t, _ in taken]
+        return lattice.free(end, begin, paths)[1][0]
 
     def _other(self, lattice, unit: int, key: int, taken, j: int):
         """A draw of a unit that is none of the taken ones, None if there is no other."""
         begin = int(lattice.begin[unit])
         end = begin + int(lattice.lengths[unit])
         paths = [lattice.path(end, begin, np.frombuffer(t, np.uint16).tolist()) for t, _ in taken]
-        codes, logp, node, step = [], -float(lattice.log_total[unit]), end, 0
+        tree, left = lattice.free(end, begin, paths)
+        codes, logp, node, step, on = [], -float(lattice.log_total[unit]), end, 0, 0
         while node > begin:
             lo, hi = lattice.into(node)
-            shares = lattice.share[lo:hi].copy()
-            if paths:
-                for e in {p[0] for p in paths}:
-                    shares[e - lo] *= lattice.free(int(lattice.src[e]), begin, [p[1:] for p in paths if p[0] == e])
+            shares = lattice.shares(node, {} if on is None else tree[on], left)
             total = float(shares.sum())
             if total <= 0.0:
                 return None
             u = float(_uniform(np.array([_times(step + 1, 0xE7037ED1A0B428DB, key + j)]))[0]) * total
             e = lo + min(int(np.searchsorted(np.cumsum(shares), u, "right")), hi - lo - 1)
-            paths = [p[1:] for p in paths if p[0] == e]
+            on = None if on is None else tree[on].get(e)
             codes.append((np.array([0]), lattice.piece[e : e + 1]))
             logp += float(lattice.log_w[e])
             node, step = int(lattice.src[e]), step + 1

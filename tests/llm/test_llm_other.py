@@ -391,6 +391,35 @@ def test_draws_without_replacement_match_the_distribution(vocabulary):
             assert abs(inclusion[k] / rows - 1) < 0.1
 
 
+@pytest.mark.parametrize("size", [49, 300, 6000])
+def test_long_units_are_drawn_from_the_whole_lattice(vocabulary, size):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=segmentation.MODEL)
+    rng = random.Random(size)
+    text = "".join(rng.choice("etaoinshr") for _ in range(size))
+    chars, log_z = "▁" + text, [0.0]
+    edges = set()
+    for j in range(1, len(chars) + 1):
+        into = []
+        for i in range(max(0, j - vocabulary.longest), j):
+            k = sp.piece_to_id(chars[i:j])
+            if sp.id_to_piece(k) == chars[i:j] and vocabulary.weights[k] > -np.inf:
+                into.append(log_z[i] + vocabulary.weights[k])
+                edges.add((i, j))
+        log_z.append(float(np.logaddexp.reduce(into)))
+    sampler = segmentation._Sampler(vocabulary, 3, 2)
+    rows, crossed = 40 if size < 1000 else 2, False
+    got = list(sampler(np.arange(rows).astype(np.uint64), [text] * rows))
+    assert len({(m[0], m[2].tobytes()) for m in got}) == len(got) == 3 * rows
+    for _, _, ids, logp, _, inclusion in got:
+        assert vocabulary.decode(ids.astype(np.int64)) == text and 0 <= inclusion <= 1
+        assert abs(logp - (vocabulary.weights[ids].sum() - log_z[-1])) < 1e-6
+        at = np.cumsum([len(sp.id_to_piece(int(i))) for i in ids])
+        crossed |= 48 not in at
+    assert crossed
+
+
 def test_more_samples_than_segmentations(vocabulary):
     sampler = segmentation._Sampler(vocabulary, 40, 1)
     for text in ("to", "\n", "日"):
