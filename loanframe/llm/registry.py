@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loanframe.llm import (
+    alignment,
     html_extract,
     license_scan,
     line_dedup,
@@ -17,7 +18,7 @@ from loanframe.llm import (
 
 PARTS = (
     mixing, passage_dedup, segmentation, line_dedup, vector_dedup, license_scan, toxicity, ngram_join, html_extract,
-    order_minhash,
+    order_minhash, alignment,
 )
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
