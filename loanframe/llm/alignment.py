@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -46,6 +47,13 @@ PIECE = 1 << 18
 ENCODED = 1 << 18
 LAID = 1 << 20
 
+#: Units whose ids a worker keeps, and the longest of them.
+KEPT_UNITS = 1 << 17
+LONG_UNIT = 48
+#: A single blank between two signs that are certainly no white space: both tokenizers begin a token there,
+#: as the one splits before such a blank and the other has no piece with a blank behind another sign.
+UNIT = re.compile("(?<=[!-~\u00c0-\u167f]) (?=[!-~\u00c0-\u167f])")
+
 DOCS = pa.struct(
     [
         ("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int32()), ("whole", pa.bool_()),
@@ -82,6 +90,7 @@ class Codec:
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
+        self.units: dict[str, tuple[list[int], list[int], bool]] = {}
         letters = _byte_letters()
         self.bytes_a = [b""] * (max(self.a.get_vocab().values(), default=-1) + 1)
         for entry, i in self.a.get_vocab().items():
@@ -101,17 +110,38 @@ class Codec:
         self.decimal[:, :width] = text.view(np.uint8).reshape(count, width)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides for each text; none where a side does not give the bytes back."""
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        out = []
-        for t, x, ids_b in zip(texts, a, b):
+        """Ids of both sides for each text; none where a side does not give the bytes back.
+
+        No token of either side reaches over a unit, so texts are the sum of their units, and a unit that
+        returns is not encoded again.
+        """
+        split = [UNIT.split(t) for t in texts]
+        missing = list({u for units in split for u in units if u not in self.units})
+        if len(self.units) + len(missing) > KEPT_UNITS:
+            self.units.clear()
+            missing = list({u for units in split for u in units})
+        a = self.a.encode_batch([" " + u for u in missing], add_special_tokens=False)
+        for u, x, ids_b in zip(missing, a, self.b.encode(missing, num_threads=1)):
             ids_a = x.ids
-            wanted = b" " + t.encode("utf-8", "surrogatepass")
-            same = b"".join([self.bytes_a[i] for i in ids_a]) == wanted == b"".join([self.bytes_b[i] for i in ids_b])
-            out.append((ids_a, ids_b) if same else ([], []))
+            self.units[u] = ids_a, ids_b, self._same(u, ids_a, ids_b)
+        out = []
+        for t, units in zip(texts, split):
+            ids_a, ids_b, same = [], [], True
+            for u in units:
+                x, y, equal = self.units[u]
+                ids_a += x
+                ids_b += y
+                same &= equal
+            out.append((ids_a, ids_b) if same or self._same(t, ids_a, ids_b) else ([], []))
+        for u in missing:
+            if len(u) > LONG_UNIT:
+                self.units.pop(u, None)
         return out
 
+    def _same(self, text: str, ids_a: list[int], ids_b: list[int]) -> bool:
+        wanted = b" " + text.encode("utf-8", "surrogatepass")
+        return b"".join([self.bytes_a[i] for i in ids_a]) == wanted == b"".join([self.bytes_b[i] for i in ids_b])
+
 
 @lru_cache(maxsize=2)
 def _codec(a: bytes, b: bytes) -> Codec:
