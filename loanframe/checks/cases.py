@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loanframe.checks.loans import LOAN_TEXT
+from loanframe.checks.loans import APPLICATION_TEXT, LOAN_TEXT
 from loanframe.checks.models import WORD
 from loanframe.checks.sqltext import r, rounded, with_standins
 from loanframe.functions.text import application_text
+from loanframe.operators.approx import approximate_topk, recall
 from loanframe.operators.topk import cosine_topk
 from loanframe.plans import cases, loans
 from loanframe.session import scratch_path
@@ -87,7 +88,7 @@ def case_topk_cells(spark, sf):
     vectors = _vectors(spark, sf)
     found = cosine_topk(
         _queries(spark, sf), vectors.select(F.col("vec_id").alias("case_id"), "vector"), K,
-        query_id="app_id", exclude_self=True, max_query_bytes=0, block=(200, 300), pivots=16,
+        query_id="app_id", exclude_self=True, max_query_bytes=0, tile_rows=150,
     )
     return found.withColumn("score", rounded("score"))
 
@@ -254,11 +255,70 @@ FROM counts JOIN places USING (loan_key)""",
 )
 
 
-@query
-def application_cases(spark, sf):
-    """Similar past loans of every application by text; rows only: SQL would compare all pairs."""
+def _texts(spark, sf):
+    """Applications and past loans as vectors of term counts."""
     apps = standin(spark, sf, "application")
-    asked = cases.text_vectors(apps.withColumn("text", application_text(apps)), "text")
+    asked = cases.text_vectors(apps.withColumn("text", application_text(apps)), "text", unit=False)
     history = standin(spark, sf, "accepted").withColumnsRenamed(loans.ACCEPTED_NAMES)
-    past = cases.case_rows(history, "loan_key").select("case_id", "vector")
-    return cases.retrieve(asked.select("app_id", "vector"), past, K).withColumn("score", rounded("score"))
+    past = cases.case_rows(history, "loan_key", unit=False)
+    return asked.select("app_id", "vector"), past.select("case_id", "vector")
+
+
+@query
+def application_cases(spark, sf):
+    """Similar past loans of every application by text."""
+    asked, past = _texts(spark, sf)
+    return cases.retrieve(asked, past, K, max_query_bytes=0).withColumn("score", rounded("score"))
+
+
+# Scores and ids in one whole number each, so that the best of an application are the largest.
+ORACLE["application_cases"] = with_standins(
+    ["application", "accepted"],
+    f"""WITH texts AS (
+  SELECT 0 AS side, app_id AS id, {APPLICATION_TEXT} AS text FROM application
+  UNION ALL SELECT 1, CAST(i // 5000 + 1 AS BIGINT) * 1000000 + i % 5000, text FROM (
+    SELECT row_number() OVER (ORDER BY loan_key) - 1 AS i, {LOAN_TEXT} AS text FROM accepted)),
+terms AS (SELECT side, id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS term FROM texts),
+counts AS (
+  SELECT side, id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 384 AS position, count(*) AS n FROM terms GROUP BY ALL),
+grid AS (SELECT side, id, unnest(generate_series(0, 383)) AS position FROM texts),
+vectors AS (
+  SELECT side, id, CAST(list(coalesce(n, 0) ORDER BY position) AS FLOAT[384]) AS v, sqrt(sum(coalesce(n * n, 0))) AS norm
+  FROM grid LEFT JOIN counts USING (side, id, position) GROUP BY side, id),
+best AS (
+  SELECT a.id AS app_id, unnest(max(CAST(round(array_inner_product(a.v, c.v) / (a.norm * c.norm) * 1000000000) AS BIGINT)
+    * 8589934592 - c.id, 10)) AS packed
+  FROM vectors a, vectors c WHERE a.side = 0 AND c.side = 1 GROUP BY a.id),
+parts AS (SELECT app_id, packed, (packed + 8589934591) // 8589934592 AS whole FROM best)
+SELECT app_id, CAST(row_number() OVER (PARTITION BY app_id ORDER BY packed DESC) AS INT) AS rank,
+  whole * 8589934592 - packed AS case_id, {r("whole / 1000000000")} AS score FROM parts""",
+)
+
+
+@query
+def case_search_recall(spark, sf):
+    """What the approximate search finds of the exact cases of all queries, and whether it is nine tenths."""
+    vectors = _vectors(spark, sf)
+    found = recall(_queries(spark, sf), vectors.select(F.col("vec_id").alias("case_id"), "vector"), K, query_id="app_id")
+    return found.agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough")
+    )
+
+
+ORACLE["case_search_recall"] = """SELECT count(*) AS queries,
+  CAST(count(*) * least(10, count(*)) AS BIGINT) AS wanted, TRUE AS enough FROM embeddings"""
+
+
+@query
+def case_topk_approximate(spark, sf):
+    """Approximate cases of every query: each with its exact score, in the right order, among them itself."""
+    vectors = _vectors(spark, sf)
+    found = approximate_topk(
+        _queries(spark, sf), vectors.select(F.col("vec_id").alias("case_id"), "vector"), K, query_id="app_id"
+    )
+    return found.where("rank = 1").select("app_id", "case_id", rounded("score").alias("score"))
+
+
+ORACLE["case_topk_approximate"] = (
+    f"WITH {PAIRS.format('')} SELECT app_id, case_id, {r('score')} AS score FROM nearest WHERE rank = 1"
+)

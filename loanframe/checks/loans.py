@@ -431,14 +431,14 @@ def application_text(spark, sf):
     return df.select("app_id", text.application_text(df).alias("text"))
 
 
-ORACLE["application_text"] = with_standins(
-    ["application"],
-    """SELECT app_id, 'Loan request: ' || loan_amount || ' USD over ' || loan_term
+APPLICATION_TEXT = """'Loan request: ' || loan_amount || ' USD over ' || loan_term
 || ' months. Applicant: ' || job_title || ' with ' || job_tenure || ' years tenure. Home: '
 || home_status || '. Annual income: ' || annual_income || '. Purpose: ' || loan_purpose
 || '. Current debt: ' || monthly_debt || '. Delinquencies: ' || delinquencies
 || '. Credit score: ' || credit_score || '. Accounts: ' || accounts || '. Bankruptcy history: '
-|| bankruptcy || '.' AS text FROM application""",
+|| bankruptcy || '.'"""
+ORACLE["application_text"] = with_standins(
+    ["application"], f"SELECT app_id, {APPLICATION_TEXT} AS text FROM application"
 )
 
 

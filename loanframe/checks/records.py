@@ -182,22 +182,30 @@ SELECT doc_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM clean"""
 
 @query
 def markdown_objects(spark, sf):
-    kind = F.col("event_id") % 4
+    """Texts, fenced texts, objects with a content, lists in lists, and objects whose keys keep their order."""
+    kind = F.col("event_id") % 6
     body = F.concat(F.lit("Line "), F.col("event_id").cast("string"))
     json = (
         F.when(kind == 0, F.to_json(F.struct(F.lit("markdown").alias("type"), body.alias("content"))))
         .when(kind == 1, F.to_json(F.struct(body.alias("markdown"))))
-        .when(kind == 2, F.concat(F.lit('["a ", {"content": " b"}, "'), body, F.lit('"]')))
-        .otherwise(F.col("props"))
+        .when(kind == 2, F.concat(F.lit('["a ", [{"content": " b"}, [7]], "'), body, F.lit('"]')))
+        .when(kind == 3, F.concat(F.lit('{"z": '), F.col("props"), F.lit(', "a": ["ü", null]}')))
+        .when(kind == 4, F.concat(F.lit('"```markdown\\n# '), body, F.lit('\\n``` tail"')))
+        .otherwise(F.concat(F.lit('{"content": '), F.col("event_id").cast("string"), F.lit("}")))
     )
     events = spark.read.parquet(f"{sf}/events.parquet")
     return events.select("event_id", text.markdown_of(json).alias("markdown"))
 
 
-ORACLE["markdown_objects"] = """SELECT event_id, CASE event_id % 4 WHEN 2 THEN
-'a' || chr(10) || chr(10) || 'b' || chr(10) || chr(10) || 'Line ' || event_id
-WHEN 3 THEN '```json' || chr(10) || replace(props, ' ', '') || chr(10) || '```'
-ELSE 'Line ' || event_id END AS markdown FROM events"""
+ORACLE["markdown_objects"] = r"""WITH parts AS (
+  SELECT event_id, 'Line ' || event_id AS body, chr(10) AS nl,
+    (SELECT string_agg('    "' || key || '": ' || CAST(value AS VARCHAR), ',' || chr(10)) FROM json_each(props)) AS inner_lines
+  FROM events)
+SELECT event_id, CASE event_id % 6
+  WHEN 2 THEN 'a' || nl || nl || 'b' || nl || nl || '7' || nl || nl || body
+  WHEN 3 THEN '```json' || nl || '{' || nl || '  "z": {' || nl || inner_lines || nl || '  },' || nl || '  "a": [' || nl
+    || '    "ü",' || nl || '    null' || nl || '  ]' || nl || '}' || nl || '```'
+  WHEN 4 THEN '# ' || body WHEN 5 THEN CAST(event_id AS VARCHAR) ELSE body END AS markdown FROM parts"""
 
 
 # --- routing -------------------------------------------------------------------------------------

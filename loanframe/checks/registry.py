@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loanframe.checks import cases, loans, models, records, statements
+from loanframe.checks import cases, growth, loans, models, records, statements
 
 QUERIES = {}
 ORACLE = {}
-for part in (statements, loans, cases, records, models):
+for part in (statements, loans, cases, records, models, growth):
     QUERIES.update(part.QUERIES)
     ORACLE.update(part.ORACLE)

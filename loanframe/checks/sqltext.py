@@ -22,6 +22,7 @@ def with_standins(names: list[str], body: str) -> str:
     """``body`` with the stand-ins as leading CTEs."""
     ctes = ",\n".join(f"{n} AS {standin_sql(n)}" for n in names)
     body = body.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for lead in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(lead):
+            return f"{lead}{ctes},\n{body[len(lead):]}"
     return f"WITH {ctes}\n{body}"

@@ -204,6 +204,13 @@ def terms_change(df: DataFrame) -> DataFrame:
 # --- tokens --------------------------------------------------------------------------------------
 
 
+def priced(calls: DataFrame) -> DataFrame:
+    """Calls with their cost and their tokens."""
+    counts = [F.col(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")]
+    cost = scalar.token_cost(F.col("model"), *counts)
+    return calls.withColumns({"cost_usd": cost, "total_tokens": scalar.token_total(*counts)})
+
+
 def ledger(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Cost per call and running totals in (timestamp, call_id) order.
 
@@ -211,20 +218,13 @@ def ledger(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     sums, so one ledger that holds every call, or one instant that holds most of them, still spreads
     over many tasks.
     """
-    tokens = scalar.token_total(
-        F.col("prompt_tokens"), F.col("completion_tokens"), F.col("total_tokens")
-    )
-    cost = scalar.token_cost(
-        F.col("model"), F.col("prompt_tokens"), F.col("completion_tokens"), F.col("total_tokens")
-    )
-    priced = calls.withColumns({"cost_usd": cost, "total_tokens": tokens})
     levels = [
         ("__day", F.col("timestamp").cast("date")),
         ("__second", F.date_trunc("second", F.col("timestamp"))),
         ("__chunk", F.struct("timestamp", F.shiftright(F.col("call_id"), CHUNK_BITS).alias("part"))),
     ]
     return running_sums(
-        priced,
+        priced(calls),
         keys or [],
         levels,
         ["call_id"],
@@ -232,8 +232,8 @@ def ledger(calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def tokens_by_task(priced: DataFrame) -> DataFrame:
-    return priced.groupBy("task").agg(
+def tokens_by_task(calls: DataFrame) -> DataFrame:
+    return calls.groupBy("task").agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum("total_tokens").alias("tokens"),
         F.sum("cost_usd").alias("cost_usd"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,29 @@ LEDGER_COLUMNS = [
 ]
 
 
+def append_once(
+    df: DataFrame, path: str, load: str, keys: list[str], by: list[str] | None = None
+) -> None:
+    """Append the rows of a load that it has not written yet; a repeated load adds what is missing.
+
+    Rows with equal ``keys`` are one record. Only the folder of the load is looked at; ``by`` names
+    columns whose values become folders inside the loads.
+    """
+    target = f"{path}/load={load}"
+    rows = df.dropDuplicates(keys)
+    try:
+        written = df.sparkSession.read.parquet(target).select(*keys)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        # A null is a key like any other.
+        same = [F.col(f"__new.{k}").eqNullSafe(F.col(f"__old.{k}")) for k in keys]
+        rows = rows.alias("__new").join(written.alias("__old"), same, "left_anti")
+    writer = rows.write.mode("append")
+    (writer.partitionBy(*by) if by else writer).parquet(target)
+
+
 def append_history(history: DataFrame, path: str) -> None:
     """One JSON object per line."""
     history.write.mode("append").json(path)

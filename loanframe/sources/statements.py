@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanframe import schemas
-from loanframe.session import memory_bytes
+from loanframe.session import memory_bytes, scratch_path
 
 # How statement files are named.
 BANK_FILES = "bank_user_*.csv"
@@ -30,22 +31,26 @@ def _split_bits(spark: SparkSession) -> int:
     return memory_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")).bit_length()
 
 
-def _scan(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFrame:
+def _scan(spark: SparkSession, paths: str | list[str], pattern: str, schema: str, torn: str | None = None) -> DataFrame:
     """CSV rows with ``user_id`` and ``ord``, a BIGINT that follows the order in the file.
 
     A split of a file holds fewer rows than bytes, so shifting its start by the bits of the split
     size leaves room for the row number inside the task. Both are read straight above the scan.
+    ``torn`` names a column for the text of lines that do not fit the layout.
     """
-    rows = (
+    reader = (
         spark.read.option("header", True)
         .option("escape", '"')
         # A file whose header differs from the layout is an error, not a shifted column.
         .option("enforceSchema", False)
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
-        .schema(schema)
-        .csv(root)
+        .schema(schema if torn is None else f"{schema}, `{torn}` STRING")
     )
+    if torn is not None:
+        # The column of torn lines is in no header.
+        reader = reader.option("columnNameOfCorruptRecord", torn).option("mode", "PERMISSIVE")
+    rows = reader.csv(paths)
     row = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK))
     start = F.shiftleft(F.col("_metadata.file_block_start"), _split_bits(spark))
     return rows.select(
@@ -53,6 +58,60 @@ def _scan(spark: SparkSession, root: str, pattern: str, schema: str) -> DataFram
     )
 
 
+# Files a load names to the reader.
+MAX_FILES = 100_000
+SEEN = "path STRING, length BIGINT, modificationTime TIMESTAMP"
+
+
+def unseen_files(spark: SparkSession, root: str, record: str) -> DataFrame:
+    """(path, length, modificationTime) of statement files that the table ``record`` does not list as they are."""
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*_user_*.csv")
+        .load(root)
+        .select("path", "length", "modificationTime")
+    )
+    try:
+        seen = spark.read.schema(SEEN).parquet(record)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return found
+    return found.join(seen, ["path", "length", "modificationTime"], "left_anti")
+
+
+def read_unseen(spark: SparkSession, root: str, record: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Bank rows, card rows, torn lines (user_id, line) and the files of everything new under ``root``.
+
+    Only new or changed files are read. Hand the files to ``mark_seen`` once the rows are stored: what breaks
+    off before is read again by the next run, what comes later is not missed.
+    """
+    path = scratch_path(spark, "unseen")
+    unseen_files(spark, root, record).write.parquet(path)
+    files = spark.read.schema(SEEN).parquet(path)
+    names = [r["path"] for r in files.select("path").limit(MAX_FILES + 1).collect()]
+    if len(names) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} new files; read one folder after the other")
+    parts = []
+    for kind, pattern, schema in (("bank", BANK_FILES, schemas.BANK), ("card", CARD_FILES, schemas.CARD)):
+        chosen = [n for n in names if n.rsplit("/", 1)[-1].startswith(f"{kind}_user_")]
+        if chosen:
+            # Parsed once: good and torn lines come from one reading of the files.
+            parsed = scratch_path(spark, kind)
+            _scan(spark, chosen, pattern, schema, torn="__line").write.parquet(parsed)
+            parts.append(spark.read.parquet(parsed))
+        else:
+            parts.append(spark.createDataFrame([], f"user_id INT, {schema}, `__line` STRING, ord BIGINT"))
+    torn = [p.where("`__line` IS NOT NULL").select("user_id", F.col("__line").alias("line")) for p in parts]
+    bank, card = (p.where("`__line` IS NULL").drop("__line") for p in parts)
+    return bank, card, torn[0].unionByName(torn[1]), files
+
+
+def mark_seen(files: DataFrame, record: str) -> None:
+    files.write.mode("append").parquet(record)
+
+
 def paired_users(spark: SparkSession, root: str) -> DataFrame:
     """Users with both files, from the file listing alone: contents are not read."""
     files = (

@@ -67,7 +67,7 @@ def test_loan_text_skips_nulls_and_writes_plain_numbers(spark):
     df = spark.createDataFrame(
         [("Car", None, 12500000.0, 1e-5, 36)], "`Loan Title` string, purpose string, `Amount Requested` double, annual_inc double, term int"
     )
-    assert df.select(text.loan_text(df)).first()[0] == "Loan Title: Car | Amount Requested: $12500000.0 | Annual Income: $1.0E-5 | Term: 36"
+    assert df.select(text.loan_text(df)).first()[0] == "Loan Title: Car | Amount Requested: $12500000.0 | Annual Income: $1e-05 | Term: 36"
 
 
 def test_application_text_of_a_case(spark):

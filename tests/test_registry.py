@@ -8,7 +8,7 @@ from compare import compare, connect
 from loanframe.checks import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"rate_model", "scored_applications", "application_cases"}
+SLOW = {"rate_model", "scored_applications"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="generated tables not present")
 
