@@ -1,27 +1,30 @@
 """Exact Jaccard join of word n-gram sets by vertical partitioning.
 
-The global order of all n-grams is cut into fragments, and each fragment works alone on its slice of
-every set.
-
-1. *Counts.* Each fragment counts in how many documents its n-grams occur and hands back, per document,
-   the n-grams that occur elsewhere with their counts. An n-gram of one document overlaps with nothing,
-   so a document with too few of the others is done. N-grams that stand in two documents of a bounded
-   sample need no count: they are known to repeat, go last in the order, and keep very frequent n-grams
-   out of the fragments.
-2. *Candidates.* N-grams are ordered rare first. Two sets of Jaccard similarity t share one of the
-   first |x| - ceil(t |x|) + 1 n-grams of each. Among the sets that share an n-gram some are hubs, all
-   others are paired with the hubs only, where lengths allow the similarity.
-3. *Overlaps.* For a pair each fragment counts its part of the overlap; the parts are summed per pair
-   and compared with the union in whole numbers.
-4. Linked sets become one component. Sets that share an n-gram and are in different components are
+The global order of all n-grams, rare ones first, is cut at pivots into fragments. Each fragment joins its
+own segment of the sets, and the partial overlaps it counts are summed per pair.
+
+1. *Counts.* N-grams are counted in slices of their hash, which hand back, per document, the n-grams that
+   occur elsewhere. An n-gram of one document overlaps with nothing, so a document with too few of the
+   others is done. N-grams that stand in two documents of a bounded sample need no count: they are known to
+   repeat, go last in the order, and keep very frequent n-grams out of the slices.
+2. *Classes.* Let R be the n-grams of a document that repeat, and n the size of its set. Overlaps are
+   overlaps of R, so documents with equal (R, n) link with the same others: they are one class. Between
+   classes of one R a link depends on the sizes alone, ``100 |R| >= t (n + n' - |R|)``, so all that link
+   at all link with the smallest. Documents that share a passage and little else cost no pairs.
+3. *Candidates.* Two sets of similarity t share one of the first |R| - ceil(t n) + 1 n-grams of each. A
+   class whose size fits no other holder of an n-gram, given that the overlap is at most |R| and |R'|,
+   drops out there. Among the classes that share an n-gram some are hubs, all others are paired with the
+   hubs only, where sizes and |R| allow the similarity.
+4. *Overlaps.* Fragment by fragment, summed per pair and compared with the union in whole numbers.
+5. Linked classes become one component. Classes that share an n-gram and are in different components are
    paired with further hubs, many times as many per round, until each n-gram has one component or all its
-   sets have been hubs: no link between components is left out, and a group of copies costs as many
+   classes have been hubs: no link between components is left out, and a group of copies costs as many
    pairs as it has members.
 
-Equal sets are one set from step 2 on. N-grams are 64-bit hashes of lower-cased words (A-Z only).
-Fewer words than n make one n-gram of the whole sequence; a null text or one without words has an empty
-set and links with nothing. Rows without a doc_id link with nothing and have a null component. Rows
-that repeat a doc_id are one node: they share the component of either text, each has its own count.
+N-grams are 64-bit hashes of lower-cased words (A-Z only). Fewer words than n make one n-gram of the whole
+sequence; a null text or one without words has an empty set and links with nothing. Rows without a doc_id
+link with nothing and have a null component. Rows that repeat a doc_id are one node: they share the
+component of either text, each has its own count. Other columns are neither read nor carried.
 """
 
 from __future__ import annotations
@@ -41,9 +44,10 @@ SIZE = 5
 PERCENT = 75
 #: Documents of the sample that puts frequent n-grams last.
 SAMPLE_ROWS = 4000
-#: N-grams meant for a fragment, and parts of a set in which overlaps are counted.
-FRAGMENT_ROWS = 750_000
-PARTS = 4
+#: N-grams meant for a slice of the counts.
+SLICE_ROWS = 750_000
+#: Pivots of the order: fragments of n-grams in up to so many documents, and one of all more frequent ones.
+PIVOTS = (2, 8, 64)
 #: Times the hubs of a round in the next.
 HUB_GROWTH = 16
 #: Text whose answers are put together in one group.
@@ -99,7 +103,7 @@ def _read(size: int, frequent, fragments: int, buckets: int):
         """For each piece of a batch a row per fragment, and one that goes to its bucket."""
         known = frequent.value
         for batch in batches:
-            for part in pieces(batch.text, 1 << 22):
+            for part in pieces(batch.text):
                 sets = _sets(batch.text.iloc[part], size)
                 docs = batch.doc_id.iloc[part].to_numpy()
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -155,7 +159,7 @@ def _count(fragments: int, buckets: int):
 
 def _gather(percent: int):
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """One row per document: its set and, if it may link at all, its repeating n-grams, rare first."""
+        """One row per document: its set and, if it may link at all, its repeating n-grams by fragment and its prefix."""
         out = []
         for _, piece in rows.groupby("piece", sort=True):
             known = list(piece[piece.kind == 1].itertuples())
@@ -172,16 +176,23 @@ def _gather(percent: int):
             # The same piece twice (rows that repeat) brings each n-gram twice.
             once = np.ones(len(values), bool)
             once[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-            owner, values = owner[once], values[once].view(np.int64)
+            owner, values, seen = owner[once], values[once].view(np.int64), seen[order][once]
             cuts = np.searchsorted(owner, np.arange(len(docs) + 1))
+            # Where the fragments of the order begin and end in each set.
+            fragment = np.searchsorted(PIVOTS, seen, "left")
+            width = len(PIVOTS) + 1
+            ends = np.searchsorted(owner * width + fragment, np.arange(len(docs))[:, None] * width + np.arange(width + 1))
+            ends = ends - cuts[:-1, None]
             need = -(-percent * sizes // 100)
             for i in list(range(len(docs))) * len(known):
                 mine = values[cuts[i] : cuts[i + 1]]
                 may = sizes[i] > 0 and len(mine) >= need[i]
                 # N-grams of one document come first in the order and use up the prefix.
                 prefix = mine[: len(mine) - need[i] + 1] if may else None
-                out.append((docs[i], names[i], sizes[i], mine if may else None, prefix))
-        return pd.DataFrame(out, columns=["doc_id", "name", "n", "grams", "prefix"])
+                segments = [mine[a:b] for a, b in zip(ends[i], ends[i][1:])] if may else None
+                same = _name(mine.view(np.uint64)) if may else None
+                out.append((docs[i], names[i], sizes[i], same, segments, prefix))
+        return pd.DataFrame(out, columns=["doc_id", "name", "n", "same", "segments", "prefix"])
 
     return gather
 
@@ -204,18 +215,21 @@ def _frequent(docs: DataFrame, size: int, rows: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, name, n, grams, prefix): the set of each document, as far as links can need it."""
+    """(doc_id, name, n, same, segments, prefix): the set of each document, as far as links can need it.
+
+    ``name`` stands for the whole set, ``same`` for its n-grams that repeat.
+    """
     spark = docs.sparkSession
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    fragments = int((total[1] or 0) / 6 // FRAGMENT_ROWS) + 4
+    fragments = int((total[1] or 0) / 6 // SLICE_ROWS) + 4
     buckets = int((total[1] or 0) // BUCKET_BYTES) + 4
     frequent = spark.sparkContext.broadcast(_frequent(rows, size, total[0]))
     packed = rows.mapInPandas(_read(size, frequent, fragments, buckets), PACKED)
     answers = packed.groupBy("grp").applyInPandas(_count(fragments, buckets), PACKED)
     return landed(
         answers.groupBy("grp").applyInPandas(
-            _gather(percent), "doc_id bigint, name bigint, n bigint, grams array<bigint>, prefix array<bigint>"
+            _gather(percent), "doc_id bigint, name bigint, n bigint, same bigint, segments array<array<bigint>>, prefix array<bigint>"
         ),
         "ngram-sets",
     )
@@ -225,77 +239,107 @@ def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(a, b)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (hub, other) that link: partial overlaps per part of the order, summed per pair."""
-    side = lambda s: parts.select(F.col("name").alias(s), F.col("parts").alias(f"{s}_parts"))
+def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, other) that link: every fragment joins its segments and counts, the counts are summed per pair."""
+    side = lambda s: segments.select(F.col("name").alias(s), "fragment", F.col("grams").alias(f"{s}_grams"))
     counted = (
-        pairs.join(side("other"), "other").join(side("hub"), "hub")
-        .select("hub", "other", "sizes", F.explode(F.arrays_zip("hub_parts", "other_parts")).alias("p"))
-        .select("hub", "other", "sizes", F.pandas_udf(_overlaps, "bigint")("p.hub_parts", "p.other_parts").alias("overlap"))
+        pairs.join(side("other"), "other").join(side("hub"), ["hub", "fragment"])
+        .select("hub", "other", "sizes", F.pandas_udf(_overlaps, "bigint")("hub_grams", "other_grams").alias("overlap"))
         .groupBy("hub", "other", "sizes").agg(F.sum("overlap").alias("overlap"))
     )
     return counted.where(100 * F.col("overlap") >= percent * (F.col("sizes") - F.col("overlap"))).select("hub", "other")
 
 
-def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of the sets that link; ``sets`` has one row (name, n, grams, prefix) per set."""
-    spark = sets.sparkSession
-    part = lambda p: F.filter("grams", lambda x: F.pmod(x, F.lit(PARTS)) == p)
-    parts = sets.select("name", F.array(*[part(p) for p in range(PARTS)]).alias("parts"))
-    rows = sets.select("name", "n", F.explode("prefix").alias("gram"))
-    shared = rows.groupBy("gram").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
-    # (gram, name, n, top): top is the component so far.
-    active = landed(
-        rows.join(shared.select("gram"), "gram", "left_semi").withColumn("top", F.col("name")), "ngram-active"
+def _within(classes: DataFrame, percent: int) -> DataFrame:
+    """Links (hub, other) between classes of one R: from the smallest to all whose sizes allow it."""
+    least = classes.groupBy("same").agg(F.min(F.struct(F.col("n").alias("hub_n"), F.col("name").alias("hub"))).alias("h"))
+    fits = 100 * F.col("rep") >= percent * (F.col("n") + F.col("hub_n") - F.col("rep"))
+    return (
+        classes.join(least.select("same", "h.*"), "same")
+        .where((F.col("name") != F.col("hub")) & fits).select("hub", F.col("name").alias("other"))
+    )
+
+
+def class_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the classes that link; ``classes`` has one row (name, n, same, rep, segments, prefix) each."""
+    segments = landed(
+        classes.select("name", F.posexplode("segments").alias("fragment", "grams")).where(F.size("grams") > 0), "ngram-segments"
+    )
+    links = landed(_within(classes, percent), "ngram-links")
+    tops = landed(components(links, "hub", "other"), "ngram-tops")
+    rows = classes.select("name", "n", "same", "rep", F.explode("prefix").alias("gram"))
+    # The largest set that an overlap of |R| can still link with a set of n.
+    rows = rows.withColumn("cap", F.floor(F.col("rep") * (100 + percent) / percent) - F.col("n"))
+    held = rows.groupBy("gram").agg(
+        F.min("same").alias("a"), F.max("same").alias("b"), F.min("n").alias("least"), F.max("cap").alias("most")
+    )
+    able = rows.join(held.where("a <> b"), "gram").where("least <= cap AND most >= n").drop("a", "b", "least", "most", "cap")
+    active = _several(
+        able.join(tops, F.col("name") == F.col("node"), "left")
+        .select("gram", "name", "n", "same", "rep", F.coalesce("component", "name").alias("top"))
     )
-    links = spark.createDataFrame([], "hub bigint, other bigint")
-    tops = spark.createDataFrame([], "node bigint, component bigint")
     hubs_wanted = 1
     while not active.isEmpty():
         # One hub for each salt of a gram: no window over a gram, only partial minima.
         salt = F.pmod(F.xxhash64("name", F.lit(hubs_wanted)), F.lit(hubs_wanted))
-        hubs = active.groupBy("gram", salt.alias("salt")).agg(
-            F.min(F.struct(F.col("name").alias("hub"), F.col("n").alias("hub_n"), F.col("top").alias("hub_top"))).alias("h")
-        ).select("gram", "h.*")
-        alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+        kept = F.struct(*[F.col(c).alias(f"hub_{c}" if c != "name" else "hub") for c in ("name", "n", "same", "rep", "top")])
+        hubs = active.groupBy("gram", salt.alias("salt")).agg(F.min(kept).alias("h")).select("gram", "h.*")
+        sizes = F.col("n") + F.col("hub_n")
+        alike = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (
+            F.least("rep", "hub_rep") * (100 + percent) >= percent * sizes
+        )
         pairs = (
             active.join(hubs, "gram")
-            .where((F.col("top") != F.col("hub_top")) & alike)
-            .select(
-                F.least("hub", "name").alias("hub"), F.greatest("hub", "name").alias("other"),
-                (F.col("n") + F.col("hub_n")).alias("sizes"),
-            )
+            .where((F.col("top") != F.col("hub_top")) & (F.col("same") != F.col("hub_same")) & alike)
+            .select(F.least("hub", "name").alias("hub"), F.greatest("hub", "name").alias("other"), sizes.alias("sizes"))
             .distinct()
         )
-        links = links.union(landed(_verified(pairs, parts, percent), "ngram-links"))
+        links = links.union(landed(_verified(pairs, segments, percent), "ngram-links"))
         tops = landed(components(links, "hub", "other"), "ngram-tops")
-        left = (
+        # Hubs have met all others of their gram; what is left must still differ to be of interest.
+        active = _several(
             active.join(hubs.select("gram", F.col("hub").alias("name")), ["gram", "name"], "left_anti")
             .drop("top")
             .join(tops, F.col("name") == F.col("node"), "left")
-            .select("gram", "name", "n", F.coalesce("component", "name").alias("top"))
+            .select("gram", "name", "n", "same", "rep", F.coalesce("component", "name").alias("top"))
         )
-        # Hubs have met all others of their gram; what is left must still differ to be of interest.
-        several = left.groupBy("gram").agg(F.min("top").alias("a"), F.max("top").alias("b")).where("a <> b")
-        active = landed(left.join(several.select("gram"), "gram", "left_semi"), "ngram-active")
         hubs_wanted *= HUB_GROWTH
     return tops
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The n-grams whose classes are in different components and of different R."""
+    ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("top", "same") for f in (F.min, F.max)]
+    several = rows.groupBy("gram").agg(*ends).where("top_min <> top_max AND same_min <> same_max")
+    return landed(rows.join(several.select("gram"), "gram", "left_semi"), "ngram-active")
+
+
 def near_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: links of at least ``percent`` hundredths."""
     every = document_sets(docs, size, percent)
-    may = every.where("grams IS NOT NULL")
-    sets = landed(may.dropDuplicates(["name"]).select("name", "n", "grams", "prefix"), "ngram-distinct")
-    tops = set_components(sets, percent)
-    # Documents of linked sets hang on the smallest of them all.
+    every = every.withColumn("class", F.when(F.col("same").isNotNull(), F.xxhash64("same", "n")))
+    may = every.where("same IS NOT NULL")
+    rep = F.aggregate("segments", F.lit(0).cast("bigint"), lambda s, x: s + F.size(x))
+    classes = landed(
+        may.dropDuplicates(["class"]).select(F.col("class").alias("name"), "n", "same", rep.alias("rep"), "segments", "prefix"),
+        "ngram-classes",
+    )
+    tops = class_components(classes, percent)
+    # A class that links with another is one group, and so is one whose own members link: 2n is small enough.
+    alone = 100 * F.col("rep") >= percent * (2 * F.col("n") - F.col("rep"))
+    grouped = classes.select("name", alone.alias("alone")).join(tops, F.col("name") == F.col("node"), "left")
+    grouped = grouped.select(
+        F.col("name").alias("class"), F.when(F.col("component").isNotNull() | F.col("alone"), F.coalesce("component", "name")).alias("group")
+    )
+    # Otherwise only equal sets are linked. Groups and sets are told apart, as both are 64-bit names.
     placed = landed(
-        every.select("doc_id", "n", "name").join(tops, F.col("name") == F.col("node"), "left")
-        .select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "name")).alias("top")),
+        every.select("doc_id", "n", "name", "class").join(grouped, "class", "left").select(
+            "doc_id", "n", F.col("group").isNotNull().alias("linked"), F.when(F.col("n") > 0, F.coalesce("group", "name")).alias("top")
+        ),
         "ngram-placed",
     )
-    first = placed.where("top IS NOT NULL").groupBy("top").agg(F.min("doc_id").alias("first"))
-    found = placed.join(first, "top", "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("component_id"))
+    first = placed.where("top IS NOT NULL").groupBy("linked", "top").agg(F.min("doc_id").alias("first"))
+    found = placed.join(first, ["linked", "top"], "left").select("doc_id", "n", F.coalesce("first", "doc_id").alias("component_id"))
     if not placed.groupBy("doc_id").count().where("count > 1").isEmpty():
         # An id with several texts ties their groups together.
         tied = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))

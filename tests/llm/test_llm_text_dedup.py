@@ -158,5 +158,51 @@ def test_chain_of_links_needs_every_hub(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def counted_pairs(monkeypatch):
+    """Candidate pairs of all rounds."""
+    seen = []
+    real = ngram_join._verified
+
+    def verified(pairs, *rest):
+        seen.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", verified)
+    return seen
+
+
+def test_documents_that_share_a_passage_only_cost_no_pairs(spark, monkeypatch):
+    seen = counted_pairs(monkeypatch)
+    passage = " ".join(f"p{i}" for i in range(35))
+    rows = [(i, passage + " " + " ".join(f"own{i}_{j}" for j in range(9))) for i in range(1200)]
+    got = ngram_join.near_documents(frame(spark, rows)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 1200
+    assert sum(seen) < 5000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_passages_and_near_copies_against_plain_python(spark, monkeypatch, seed):
+    """One passage with own words of many lengths, two passages combined, and near-identical passages."""
+    seen = counted_pairs(monkeypatch)
+    rng = random.Random(seed)
+    passages = [[f"p{k}_{i}" for i in range(rng.randint(12, 30))] for k in range(3)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}_{j}" for j in range(rng.randint(0, 14))]
+        kind = i % 5
+        if kind < 2:
+            words = passages[0] + own
+        elif kind == 2:
+            words = own + passages[rng.randrange(3)] + passages[rng.randrange(3)]
+        else:
+            words = list(passages[1])
+            words[rng.randrange(len(words))] = f"e{rng.randrange(4)}"
+            words += own[: rng.randint(0, 5)]
+        rows.append((i, " ".join(words)))
+    got = ngram_join.near_documents(frame(spark, rows), 3, 75).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.ngram_components(rows, 3, 75)
+    assert sum(seen) < 150 * 149 // 4
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.near_documents(spark.createDataFrame([], SCHEMA)).count() == 0
