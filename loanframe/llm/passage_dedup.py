@@ -22,6 +22,7 @@ doc_id are judged one by one against smaller ids; equal rows come back equal.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import compress
 
@@ -53,9 +54,14 @@ def _encoded(text) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def _digest(joined: bytes) -> tuple[int, int]:
+    """128 bits of a word sequence, as its name and a check beside it."""
+    return struct.unpack(">qq", hashlib.md5(joined).digest())
+
+
 def _name(joined: bytes) -> int:
-    """64 bits that name a word sequence."""
-    return int.from_bytes(hashlib.md5(joined).digest()[:8], "big", signed=True)
+    """64 bits that tell the texts of one id apart."""
+    return _digest(joined)[0]
 
 
 def _read(window: int, size: int):
@@ -64,11 +70,11 @@ def _read(window: int, size: int):
             for part in pieces(batch.text):
                 w = words(batch.text.iloc[part])
                 # split() of bytes parts at just the blanks of the words.
-                names = [_name(b" ".join(_encoded(t).split())) for t in batch.text.iloc[part]]
+                names, checks = zip(*(_digest(b" ".join(_encoded(t).split())) for t in batch.text.iloc[part]))
                 found = [np.unique(_anchors(w.hashes[w.of(i)], window, size)[1]).view(np.int64) for i in range(len(names))]
                 yield pd.DataFrame(
                     {
-                        "doc_id": batch.doc_id.iloc[part].to_numpy(), "name": names,
+                        "doc_id": batch.doc_id.iloc[part].to_numpy(), "name": names, "check": checks,
                         "n_words": np.diff(w.first), "anchors": found,
                     }
                 )
@@ -143,11 +149,11 @@ def _kept(texts: pd.Series, spans: pd.Series, whole: pd.Series) -> pd.DataFrame:
 
 
 def texts_of(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, name, n_words, anchors) of every row with an id: the name stands for the word sequence."""
+    """(doc_id, name, check, n_words, anchors) of every row with an id: name and check stand for the word sequence."""
     return landed(
         docs.where("doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .mapInPandas(_read(window, anchor), "doc_id bigint, name bigint, n_words bigint, anchors array<bigint>"),
+        .mapInPandas(_read(window, anchor), "doc_id bigint, name bigint, check bigint, n_words bigint, anchors array<bigint>"),
         "passage-texts",
     )
 
@@ -158,10 +164,11 @@ def shared_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor
     Each span lies in a document larger than its source; length counts words. Only the smallest
     document of equal texts takes part.
     """
-    first = texts.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    distinct = texts.where(f"n_words >= {window}").select("doc_id", "name", "anchors").join(
-        first, ["name", "doc_id"], "left_semi"
-    ).dropDuplicates(["name", "doc_id"])
+    text = ["name", "check"]
+    first = texts.groupBy(*text).agg(F.min("doc_id").alias("doc_id"))
+    distinct = texts.where(f"n_words >= {window}").select("doc_id", *text, "anchors").join(
+        first, [*text, "doc_id"], "left_semi"
+    ).dropDuplicates([*text, "doc_id"])
     rows = landed(distinct.select("doc_id", "name", F.explode("anchors").alias("anchor")), "passage-anchors")
     shared = rows.groupBy("anchor").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     asked = (
@@ -219,7 +226,8 @@ def shared_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor
             F.col("source.doc_id").alias("source_doc"), F.col("source.name").alias("source_name"),
             F.col("source.pos").alias("source_start"),
         )
-        .withColumn("span", F.xxhash64("doc_id", "name", "start"))
+        # A number of its own for each, kept by the table they are written to.
+        .withColumn("span", F.monotonically_increasing_id())
     )
     return _verified(landed(spans, "passage-spans"), near)
 
@@ -265,9 +273,9 @@ def remove_shared(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     """All columns of ``docs`` with ``n_words``, ``n_removed``, ``kept_text`` and the spans."""
     texts = texts_of(docs.select("doc_id", "text"), window, anchor)
     spans = shared_spans(docs.select("doc_id", "text"), texts, window, anchor)
-    first = texts.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("texts"))
+    first = texts.groupBy("name", "check").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("texts"))
     copies = (
-        texts.where(f"n_words >= {window}").select("doc_id", "name").join(first.where("texts > 1"), "name")
+        texts.where(f"n_words >= {window}").select("doc_id", "name", "check").join(first.where("texts > 1"), ["name", "check"])
         .where("doc_id > first_doc").select("doc_id", "name", F.lit(True).alias("copied"))
     )
     found = spans.groupBy("doc_id", "name").agg(
