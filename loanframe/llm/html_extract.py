@@ -47,9 +47,17 @@ OUT_WORDS = frozenset(
     "footer masthead header share sharing social related recommended recommendations teaser toolbar login search "
     "legal copyright disclaimer skip".split()
 )
+#: Words that name no thing of their own: ``ad-box`` is an ad, ``related-work`` is no list of related pages.
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content desktop element fixed form group hidden "
+    "home icon icons image img inner item items js label law left link links list logo mobile module outer page panel "
+    "primary right row secondary section site slot small sticky text this tile title top unit us view wrap wrapper zone".split()
+)
 COMMENT_WORDS = frozenset("comment comments disqus respond reply replies discussion commentlist".split())
 #: Beside a comment word in one name of a class these speak of a state of the page: comments-open.
 STATE_WORDS = frozenset("open opened closed no not has have with without on off enabled disabled allowed status count".split())
+#: Share of link text from which a part of an article with a doubtful name is taken for a list of links.
+LINK_SHARE = 1 / 3
 #: Code points of text directly in a div or cell that make it a paragraph.
 PARAGRAPH_POINTS = 80
 #: Elements that end when one of the second begins inside them.
@@ -192,15 +200,18 @@ def _taken_out(page: Page) -> list[bool]:
         holds_article[up] |= not answer[i] and (holds_article[i] or meant or tags[i] == "h1")
         holds_main[up] |= not answer[i] and (holds_main[i] or meant or bare and tags[i] == "h1")
         lists[up] |= lists[i] or bool(comments[i]) or tags[i] in ("form", "textarea")
-    page_wide = _page_wide_forms(page)
-    out, in_article = [False] * n, [False] * n
+    paragraphs, mostly_links = _measured(page)
+    most = [i > 0 and 2 * paragraphs[i] > paragraphs[0] for i in range(n)]
+    out, in_article, in_text = [False] * n, [False] * n, [False] * n
     for i in range(1, n):
         up, tag = parents[i], tags[i]
         in_article[i] = in_article[up] or tag in ("article", "main")
+        # Inside the part of the page that holds its text, whatever its name.
+        in_text[i] = in_text[up] or in_article[up] or most[up] and tags[up] not in ("html", "body")
         if out[up]:
             out[i] = True
             continue
-        holds = holds_article[i] or i in page_wide
+        holds = holds_article[i] or tag == "form" and most[i]
         if tag in RAW or tag in OUT_TAGS and not (tag == "form" and holds):
             out[i] = True
         elif tag == "header":
@@ -214,14 +225,19 @@ def _taken_out(page: Page) -> list[bool]:
             continue
         if about.get("role", "").lower() in OUT_ROLES:
             out[i] = not (holds and about["role"].lower() == "form")
-        said = set(_WORDS.findall(f"{about.get('class', '')} {about.get('id', '')}".lower()))
         if tag == "article":
             out[i] = out[i] or answer[i]
-        elif comments[i] and not holds_main[i] and i not in page_wide:
+        elif comments[i] and not holds_main[i] and not (tag == "form" and most[i]):
             like_list = lists[i] or tag in ("ol", "ul", "li") or entries[up, tag, comments[i]] > 1
             out[i] = out[i] or like_list or not in_article[i]
-        elif said & OUT_WORDS and not holds:
-            out[i] = True
+        elif not holds:
+            names = f"{about.get('class', '')} {about.get('id', '')}".lower().split()
+            said = {_names_furniture(name) for name in names}
+            if True in said:
+                # What holds most of the text is no furniture, unless nothing else is said of it.
+                out[i] = not (most[i] and len(names) > 1 and False in said)
+            elif None in said and not most[i]:
+                out[i] = not in_text[i] or mostly_links[i] or not paragraphs[i]
     return out
 
 
@@ -237,27 +253,40 @@ def _of_comments(mark: str) -> str:
     return ""
 
 
-def _page_wide_forms(page: Page) -> set[int]:
-    """The forms that hold more than half of the paragraphs of a page."""
+def _measured(page: Page) -> tuple[list[int], list[bool]]:
+    """Paragraphs in each element, and whether an element is mostly links."""
     n, tags, parents = len(page.tags), page.tags, page.parents
-    if "form" not in tags:
-        return set()
-    block_of, raw = list(range(n)), [False] * n
+    block_of, raw, linked = list(range(n)), [False] * n, [False] * n
     for i in range(1, n):
         raw[i] = raw[parents[i]] or tags[i] in RAW or tags[i] in OUT_TAGS and tags[i] != "form"
+        linked[i] = linked[parents[i]] or tags[i] == "a"
         if tags[i] not in BLOCK:
             block_of[i] = block_of[parents[i]]
-    size = [0] * n
-    for node, text in page.events:
-        if text is not None and not raw[node]:
-            size[block_of[node]] += len(" ".join(text.split()))
+    size, text, links = [0] * n, [0] * n, [0] * n
+    for node, said in page.events:
+        if said is not None and not raw[node]:
+            length = len(" ".join(said.split()))
+            size[block_of[node]] += length
+            text[node] += length
+            links[node] += length * linked[node]
     inside = [
         int(size[i] > 0 and tags[i] == "p" or size[i] >= PARAGRAPH_POINTS and tags[i] not in HEADING) for i in range(n)
     ]
     for i in range(n - 1, 0, -1):
-        inside[parents[i]] += inside[i]
-    return {i for i in range(1, n) if tags[i] == "form" and 2 * inside[i] > inside[0]}
-
+        up = parents[i]
+        inside[up] += inside[i]
+        text[up] += text[i]
+        links[up] += links[i]
+    return inside, [links[i] >= LINK_SHARE * text[i] for i in range(n)]
+
+
+def _names_furniture(name: str) -> bool | None:
+    """Whether a class or id speaks of something around an article; None if it may as well be its subject."""
+    words = _WORDS.findall(name)
+    if not OUT_WORDS.intersection(words):
+        return False
+    last = words[-1]
+    return True if last in OUT_WORDS or last in PLAIN_WORDS or any(c.isdigit() for c in last) else None
 
 def _blocks(page: Page, kept: list[bool]) -> list[str]:
     blocks, now = [], []

@@ -446,3 +446,22 @@ def test_every_text_comes_back(spark):
     again = segmentation.encode(docs.drop("ids").repartition(1).orderBy(F.desc("doc_id")), samples=3).collect()
     assert {(r.doc_id, r["sample"], bytes(r.ids)) for r in again} == {(r.doc_id, r["sample"], bytes(r.ids)) for r in got}
     assert segmentation.encode(docs.drop("ids").limit(0)).count() == 0
+
+
+LONG = "<p>" + "This is a long sentence, with commas, that tells of something. " * 4 + "</p>"
+PART = "<p>" + "Another part of the text, as long as the others, is here. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "parts"),
+    [
+        (f"<body><div class='nav'><a href=x>n</a></div><div class='entry social-post'>{LONG * 4}</div><div><p>one, small.</p></div></body>", 0),
+        (f"<body><div id='search-engine-history'>{LONG * 4}</div></body>", 0),
+        (f"<body><article>{LONG * 2}<div class='related-work'>{PART}</div><div class='legal-analysis'>{PART}</div>{LONG * 2}"
+         "<div class='related-posts'><a href=a>gone away</a></div><div class='ad-box'><p>gone away, too</p></div></article></body>", 2),
+        (f"<body><div class='content'>{LONG * 3}<div class='share-price'>{PART}</div>{LONG}<div class='share-buttons'>gone</div></div></body>", 1),
+    ],
+)
+def test_names_that_are_the_subject_of_an_article_stay(page, parts):
+    text = html_extract.main_text(page)
+    assert text.count("long sentence") == 16 and text.count("Another part") == 3 * parts and "gone" not in text
