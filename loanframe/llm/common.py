@@ -25,6 +25,12 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that travel to Python together: with whole documents in them, Spark's 10,000 take tens of megabytes
+    in the JVM and again, as bytes and as strings, in every worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other letter stays."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

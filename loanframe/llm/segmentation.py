@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import table
+from loanframe.llm.common import small_batches, table
 from loanframe.llm.wordhash import mix, pieces as slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -82,6 +82,8 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
+        if size > 1 << 16:
+            raise ValueError(f"ids are kept as 16 bits, the vocabulary has {size} pieces")
         weights = np.full(size, -np.inf)
         byte_ids = np.zeros(256, np.int64)
         data, found, prefixes = [], {}, set()
@@ -529,16 +531,17 @@ def _vocabulary(spark: SparkSession, path: str, sharpness: float):
 
 def encode(
     docs: DataFrame, samples: int = SAMPLES, seed: int = 0, key: str = "doc_id", text: str = "text",
-    model: str = MODEL, sharpness: float = SHARPNESS,
+    model: str = MODEL, sharpness: float = SHARPNESS, checked: bool = False,
 ) -> DataFrame:
     """``samples`` rows per row: all columns but the text, and the segmentation.
 
     Adds ``sample`` (from 0, best first), ``ids`` (piece ids as 16-bit little-endian numbers),
     ``log_prob``, ``perturbed`` and ``inclusion`` (the probability to be among the samples, given the
-    threshold); columns of these names are replaced.
+    threshold); columns of these names are replaced. ``checked`` adds ``round_trip``: whether decoding
+    gives the text, looked at where it was encoded, without a second stage of Python workers.
     """
     sent = _vocabulary(docs.sparkSession, model, sharpness)
-    made_here = {"sample", "ids", "log_prob", "perturbed", "inclusion"}
+    made_here = {"sample", "ids", "log_prob", "perturbed", "inclusion", *(["round_trip"] if checked else [])}
     others = [c for c in docs.columns if c != text and c not in made_here]
     schema = docs.select(*others, F.col(text).alias("__text"), F.coalesce(F.xxhash64(key), F.lit(0)).alias("__key"))
 
@@ -552,11 +555,15 @@ def encode(
                 out["sample"] = np.array([m[1] for m in made], np.int32)
                 out["ids"] = [m[2].astype("<u2").tobytes() for m in made]
                 out["log_prob"], out["perturbed"], out["inclusion"] = ([m[c] for m in made] for c in (3, 4, 5))
+                if checked:
+                    texts = rows["__text"].to_list()
+                    again = (sent.value.decode(np.frombuffer(b, "<u2").astype(np.int64)) for b in out["ids"])
+                    out["round_trip"] = [t == (texts[m[0]] or "") for t, m in zip(again, made)]
                 yield out
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema if f.name in others)
     return schema.mapInPandas(
-        run, f"{kinds}, sample int, ids binary, log_prob double, perturbed double, inclusion double"
+        run, f"{kinds}, sample int, ids binary, log_prob double, perturbed double, inclusion double" + ", round_trip boolean" * checked
     )
 
 
@@ -577,10 +584,10 @@ def decode(rows: DataFrame, ids: str = "ids", name: str = "text", model: str = M
 
 def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every text: digests, scores, and whether decoding gives the text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.sha2(F.col("text").cast("binary"), 256)
-    decoded = decode(encode(docs.withColumn("text_sha256", digest)))
-    return decoded.select(
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode(docs, checked=True)
+    return encoded.select(
         "doc_id",
         "sample",
         (F.octet_length("ids") / 2).cast("bigint").alias("n_pieces"),
@@ -588,7 +595,7 @@ def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "log_prob",
         "perturbed",
         "inclusion",
-        (digest == F.col("text_sha256")).alias("round_trip"),
+        "round_trip",
     )
 
 
