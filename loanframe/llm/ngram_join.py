@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanframe.llm.common import components, landed, table
+from loanframe.llm.common import components, landed, small_batches, table
 from loanframe.llm.wordhash import grams, pieces, sequence, words
 
 SIZE = 5
@@ -220,6 +220,7 @@ def document_sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) ->
     ``name`` stands for the whole set, ``same`` for its n-grams that repeat.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     fragments = int((total[1] or 0) / 6 // SLICE_ROWS) + 4

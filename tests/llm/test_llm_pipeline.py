@@ -100,6 +100,16 @@ def test_every_prefix_holds_the_weights_after_the_reread(spark, tmp_path, severa
             assert all(abs(done[s] - w * (r.mix_place + 1)) < 16 for s, w in share.items())
 
 
+def test_an_id_with_several_texts_loses_near_copies_only(spark, tmp_path):
+    base = " ".join(f"w{i}" for i in range(60))
+    unique = " ".join(f"u{i}" for i in range(40))
+    rows = [(3, base), (5, base + " x"), (5, unique), (7, base), (7, base), (None, base), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, __row string")
+    got = sorted(map(str, corpus_pipeline.keep_one_of_near_copies(spark, docs, str(tmp_path)).select("doc_id", "text").collect()))
+    kept = spark.createDataFrame([(3, base), (5, unique), (None, base), (9, None), (9, "")], "doc_id bigint, text string").collect()
+    assert got == sorted(map(str, kept))
+
+
 def test_written_place_of_rows_from_no_file(spark):
     got = mixing.with_written_place(spark.range(20, numPartitions=3).orderBy(F.desc("id"))).collect()
     assert sorted((r.mix_place, r.id) for r in got) == list(enumerate(range(19, -1, -1)))
