@@ -84,7 +84,7 @@ def test_markdown(spark):
     rows = ["```markdown\n# A\n```", "```\nx\n``` tail", "  plain ", "a ```b```", "```open", " nbsp "]
     assert values(spark, rows, "string", text.normalise_markdown) == ["# A", "x", "plain", "a ```b```", "```open", "nbsp"]
     objects = ['{"content": " c "}', '{"markdown": "m"}', '[" a", {"content": "b"}]', '{"z":1}', '"```\\nq\\n```"']
-    assert values(spark, objects, "string", text.markdown_of) == ["c", "m", "a\n\nb", '```json\n{"z":1}\n```', "q"]
+    assert values(spark, objects, "string", text.markdown_of) == ["c", "m", "a\n\nb", '```json\n{\n  "z": 1\n}\n```', "q"]
 
 
 def test_align_union_keeps_rows_and_order(spark):
