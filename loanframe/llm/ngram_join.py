@@ -17,9 +17,9 @@ own segment of the sets, and the partial overlaps it counts are summed per pair.
    hubs only, where sizes and |R| allow the similarity.
 4. *Overlaps.* Fragment by fragment, summed per pair and compared with the union in whole numbers.
 5. Linked classes become one component. Classes that share an n-gram and are in different components are
-   paired with further hubs, many times as many per round, until each n-gram has one component or all its
-   classes have been hubs: no link between components is left out, and a group of copies costs as many
-   pairs as it has members.
+   paired with further hubs, many times as many per round and all where few are left, until each n-gram has
+   one component or all its classes have been hubs: no link between components is left out, and a group of
+   copies costs as many pairs as it has members.
 
 N-grams are 64-bit hashes of lower-cased words (A-Z only). Fewer words than n make one n-gram of the whole
 sequence; a null text or one without words has an empty set and links with nothing. Rows without a doc_id
@@ -48,7 +48,8 @@ SAMPLE_ROWS = 4000
 SLICE_ROWS = 750_000
 #: Pivots of the order: fragments of n-grams in up to so many documents, and one of all more frequent ones.
 PIVOTS = (2, 8, 64)
-#: Times the hubs of a round in the next.
+#: Classes of an n-gram that are all hubs at once, and times the hubs of larger ones grow from round to round.
+ALL_HUBS = 48
 HUB_GROWTH = 16
 #: Text whose answers are put together in one group.
 BUCKET_BYTES = 1 << 24
@@ -282,7 +283,9 @@ def class_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     hubs_wanted = 1
     while not active.isEmpty():
         # One hub for each salt of a gram: no window over a gram, only partial minima.
-        salt = F.pmod(F.xxhash64("name", F.lit(hubs_wanted)), F.lit(hubs_wanted))
+        salt = F.when(F.col("held") <= ALL_HUBS, F.xxhash64("name")).otherwise(
+            F.pmod(F.xxhash64("name", F.lit(hubs_wanted)), F.lit(hubs_wanted))
+        )
         kept = F.struct(*[F.col(c).alias(f"hub_{c}" if c != "name" else "hub") for c in ("name", "n", "same", "rep", "top")])
         hubs = active.groupBy("gram", salt.alias("salt")).agg(F.min(kept).alias("h")).select("gram", "h.*")
         sizes = F.col("n") + F.col("hub_n")
@@ -300,7 +303,7 @@ def class_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         # Hubs have met all others of their gram; what is left must still differ to be of interest.
         active = _several(
             active.join(hubs.select("gram", F.col("hub").alias("name")), ["gram", "name"], "left_anti")
-            .drop("top")
+            .drop("top", "held")
             .join(tops, F.col("name") == F.col("node"), "left")
             .select("gram", "name", "n", "same", "rep", F.coalesce("component", "name").alias("top"))
         )
@@ -309,10 +312,10 @@ def class_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """The n-grams whose classes are in different components and of different R."""
+    """The n-grams whose classes are in different components and of different R, with the number of their classes."""
     ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("top", "same") for f in (F.min, F.max)]
-    several = rows.groupBy("gram").agg(*ends).where("top_min <> top_max AND same_min <> same_max")
-    return landed(rows.join(several.select("gram"), "gram", "left_semi"), "ngram-active")
+    several = rows.groupBy("gram").agg(*ends, F.count("*").alias("held")).where("top_min <> top_max AND same_min <> same_max")
+    return landed(rows.join(several.select("gram", "held"), "gram"), "ngram-active")
 
 
 def near_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
