@@ -45,14 +45,14 @@ PERCENT = 75
 #: Documents of the sample that puts frequent n-grams last.
 SAMPLE_ROWS = 4000
 #: N-grams meant for a slice of the counts.
-SLICE_ROWS = 750_000
+SLICE_ROWS = 400_000
 #: Pivots of the order: fragments of n-grams in up to so many documents, and one of all more frequent ones.
 PIVOTS = (2, 8, 64)
 #: Classes of an n-gram that are all hubs at once, and times the hubs of larger ones grow from round to round.
 ALL_HUBS = 48
 HUB_GROWTH = 16
 #: Text whose answers are put together in one group.
-BUCKET_BYTES = 1 << 24
+BUCKET_BYTES = 1 << 22
 
 #: A piece is some documents of a batch. Per fragment: entries per document and their n-grams (kind 0).
 #: Back: per n-gram that repeats the document's place in the piece, and its count (kind 0). What is known
