@@ -481,7 +481,7 @@ SELECT app_id, task, criterion, CASE WHEN task <> 'profile' THEN accounts END AS
   CASE WHEN task IN ('decision', 'rag_eval') THEN app_id + 1000000 END AS case_id,
   CASE WHEN task IN ('decision', 'evaluation', 'report') THEN CAST(0.125 AS DOUBLE) END AS rate,
   CASE WHEN task = 'evaluation' THEN 'medium' END AS tolerance,
-  CASE WHEN task = 'profile' THEN 'Evidence that income and savings are trending upwards.' END
+  CASE WHEN task = 'profile' THEN 'Whether income, and what is put aside of it, rise over the months seen.' END
     AS definition,
   CASE WHEN task IN ('decision', 'rag_eval') THEN CASE WHEN app_id % 2 = 0 THEN 'Fully Paid' ELSE 'Charged Off' END END AS case_status,
   CASE WHEN task IN ('decision', 'rag_eval') THEN {r('app_id % 7 + 5.0')} END AS case_rate,

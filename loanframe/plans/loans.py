@@ -245,31 +245,8 @@ def monthly_bill(schedule: DataFrame) -> DataFrame:
     )
 
 
-# Merchants whose category is known, and the categories used for the others.
-MERCHANT_CATEGORY = {
-    "Amazon": "Electronics", "Walmart": "Groceries", "Starbucks": "Dining",
-    "Apple": "Electronics", "H&M": "Clothing", "IKEA": "Home", "Zara": "Clothing",
-    "Nike": "Clothing", "Adidas": "Clothing", "Target": "Groceries", "McDonald's": "Dining",
-    "CVS": "Health", "Walgreens": "Health", "Delta Airlines": "Travel", "Uber": "Travel",
-}
-FALLBACK_CATEGORIES = [
-    "Groceries", "Dining", "Travel", "Electronics", "Clothing", "Entertainment", "Health", "Home",
-]
-
-
-def merchant_category(
-    card: DataFrame, merchants: DataFrame | None = None, fallback: str = "Home"
-) -> DataFrame:
-    """Fill ``category`` from the merchant; an unknown merchant keeps its own or the fallback.
-
-    The built-in table has fifteen rows and is broadcast; a caller's table is joined as it is.
-    """
-    if merchants is None:
-        merchants = F.broadcast(
-            card.sparkSession.createDataFrame(
-                list(MERCHANT_CATEGORY.items()), "business_name string, known string"
-            )
-        )
+def merchant_category(card: DataFrame, merchants: DataFrame, fallback: str = "Home") -> DataFrame:
+    """Fill ``category`` from ``merchants`` (business_name, known); an unknown one keeps its own or the fallback."""
     own = F.col("category") if "category" in card.columns else F.lit(None).cast("string")
     joined = card.join(merchants, "business_name", "left")
     return joined.withColumn("category", F.coalesce("known", own, F.lit(fallback))).drop("known")

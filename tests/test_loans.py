@@ -118,5 +118,6 @@ def test_installments_and_bill(spark):
 
 def test_merchant_category(spark):
     card = spark.createDataFrame([("Uber", None), ("Corner", "Dining"), ("Else", None)], "business_name string, category string")
-    got = {r["business_name"]: r["category"] for r in loans.merchant_category(card).collect()}
+    known = spark.createDataFrame([("Uber", "Travel"), ("Other", "Health")], "business_name string, known string")
+    got = {r["business_name"]: r["category"] for r in loans.merchant_category(card, known).collect()}
     assert got == {"Uber": "Travel", "Corner": "Dining", "Else": "Home"}
