@@ -28,6 +28,9 @@ PROBES = 8
 BUCKET_ROWS = 256
 MAX_BITS = 24
 BLOCK_ROWS = 8_192
+# Vectors whose codes are found at once, and queries of a block that are searched at once.
+PLACED_AT_ONCE = 512
+ASKED_AT_ONCE = 4_096
 SEED = 17
 
 
@@ -83,35 +86,46 @@ def approximate_topk(
     case_type = corpus.schema[case_id].dataType.simpleString()
 
     def placed(probes: int):
-        @F.pandas_udf("struct<unit: binary, places: array<struct<t: int, code: bigint>>>")
+        @F.pandas_udf("struct<unit: binary, codes: array<bigint>>")
         def place(vectors: pd.Series) -> pd.DataFrame:
-            unit = _unit(vectors, dim)
-            codes, side = codes_of(unit, planes, tables)
-            every = probed(codes, side, probes)
-            places = [[{"t": t, "code": c} for t, row in enumerate(r) for c in row.tolist()] for r in every]
-            return pd.DataFrame({"unit": [_bytes(u) for u in unit], "places": places})
-
-        return place(vector)
+            parts = []
+            for start in range(0, len(vectors), PLACED_AT_ONCE):
+                unit = _unit(vectors.iloc[start : start + PLACED_AT_ONCE], dim)
+                every = probed(*codes_of(unit, planes, tables), probes)
+                # Codes table by table, as many of each.
+                parts.append(pd.DataFrame({"unit": [_bytes(u) for u in unit], "codes": list(every.reshape(len(unit), -1))}))
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"unit": [], "codes": []})
+
+        each = F.expr(f"transform(codes, (c, i) -> struct(CAST(floor(i * {tables} / size(codes)) AS INT) AS t, c AS code))")
+        return lambda df, name: (
+            df.select(F.col(name), place(vector).alias("p")).select(name, "p.unit", "p.codes").select(name, "unit", F.explode(each).alias("at"))
+        )
 
     # Blocks follow the size of a bucket; hashes spread its rows over them.
-    cases = corpus.withColumn("p", placed(1)).select(F.col(case_id).alias("case"), "p.unit", F.explode("p.places").alias("at"))
-    cases = cases.select("case", "unit", "at.t", "at.code")
+    cases = placed(1)(corpus, case_id).select(F.col(case_id).alias("case"), "unit", "at.t", "at.code")
     blocks = cases.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     right = cases.join(blocks, ["t", "code"]).withColumn("block", F.pmod(F.xxhash64("case"), "blocks").cast("int"))
-    asked = queries.withColumn("p", placed(probes)).select(F.col(query_id).alias("asked"), "p.unit", F.explode("p.places").alias("at"))
-    left = asked.select("asked", "unit", "at.t", "at.code").join(blocks, ["t", "code"])
+    asked = placed(probes)(queries, query_id).select(F.col(query_id).alias("asked"), "unit", "at.t", "at.code")
+    left = asked.join(blocks, ["t", "code"])
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
         if few.empty or many.empty:
             return pd.DataFrame({"asked": [], "case": [], "score": []})
         tile = Tile(many["case"].to_numpy(), _matrix(b"".join(many["unit"]), dim))
-        query_ids = few["asked"].to_numpy()
-        scores, places, _ = tile.search(query_ids, _matrix(b"".join(few["unit"]), dim), np.full(len(few), -np.inf), k, exclude_self)
-        take = scores != NOTHING
-        return pd.DataFrame(
-            {"asked": np.repeat(query_ids, take.sum(axis=1)), "case": tile.by_place[places[take]], "score": scores[take] / PLACES}
-        )
+        out = []
+        for start in range(0, len(few), ASKED_AT_ONCE):
+            part = few.iloc[start : start + ASKED_AT_ONCE]
+            query_ids = part["asked"].to_numpy()
+            floors = np.full(len(part), -np.inf)
+            scores, places, _ = tile.search(query_ids, _matrix(b"".join(part["unit"]), dim), floors, k, exclude_self)
+            take = scores != NOTHING
+            out.append(
+                pd.DataFrame(
+                    {"asked": np.repeat(query_ids, take.sum(axis=1)), "case": tile.by_place[places[take]], "score": scores[take] / PLACES}
+                )
+            )
+        return pd.concat(out, ignore_index=True)
 
     on = ["t", "code", "block"]
     found = left.select(*on, "asked", "unit").groupBy(*on).cogroup(right.select(*on, "case", "unit").groupBy(*on))

@@ -133,3 +133,14 @@ def test_levels(spark, monkeypatch):
     with pytest.raises(ValueError):
         fitted.names()
     assert levels.fit_levels(df.where("false"), "v").count == 0
+
+
+def test_codes_and_answers_in_pieces(spark, monkeypatch):
+    """Codes are found and blocks searched a few rows at a time, with the same results."""
+    rows = [(i, [random.Random(i % 70).gauss(0, 1) + j for j in range(6)]) for i in range(300)]
+    right = spark.createDataFrame(rows, "case_id bigint, vector array<double>")
+    left = right.withColumnRenamed("case_id", "query_id")
+    whole = sorted(map(tuple, approx.approximate_topk(left, right, 3).collect()))
+    monkeypatch.setattr(approx, "PLACED_AT_ONCE", 7)
+    monkeypatch.setattr(approx, "ASKED_AT_ONCE", 5)
+    assert sorted(map(tuple, approx.approximate_topk(left, right, 3).collect())) == whole and len(whole) == 900
