@@ -132,3 +132,23 @@ def test_redaction_and_empty_table(spark):
     assert {r.doc_id: r.redacted for r in pii.redact(docs).collect()} == {1: "mail [email] now", 2: None, 3: "[ip]"}
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert pii.find(empty).count() == 0 and pii.find(docs.where(F.col("doc_id") == 2)).count() == 1
+
+
+def test_every_example_is_learnt_from(spark, corpus, monkeypatch):
+    """No text and no example is left out, and the result does not depend on how the texts are split."""
+    made, real_landed = {}, pii.landed
+
+    def keep(df, name):
+        made[name] = real_landed(df, name)
+        return made[name]
+
+    monkeypatch.setattr(pii, "landed", keep)
+    monkeypatch.setattr(pii, "PART_ROWS", 1500, raising=False)
+    for old in ("TRAIN_TEXTS", "TRAIN_ROWS"):
+        monkeypatch.setattr(pii, old, 300, raising=False)
+    docs = spark.createDataFrame(list(enumerate(corpus)), "doc_id bigint, text string")
+    results = []
+    for parts in (2, 5):
+        results.append(sorted((r.doc_id, [(s.start, s.stop, s.p) for s in r.added]) for r in pii.find(docs.repartition(parts)).collect()))
+        assert made["span-rows"].count() == sum(len(list(pii.examples(t))) for t in corpus)
+    assert results[0] == results[1]
