@@ -276,6 +276,7 @@ def class_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min("same").alias("a"), F.max("same").alias("b"), F.min("n").alias("least"), F.max("cap").alias("most")
     )
     able = rows.join(held.where("a <> b"), "gram").where("least <= cap AND most >= n").drop("a", "b", "least", "most", "cap")
+    able = _once(able)
     active = _several(
         able.join(tops, F.col("name") == F.col("node"), "left")
         .select("gram", "name", "n", "same", "rep", F.coalesce("component", "name").alias("top"))
@@ -311,6 +312,18 @@ def class_components(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return tops
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One n-gram of all that the same classes hold: the others would only bring the same pairs again.
+
+    Classes are told by their number and 128 bits of their names.
+    """
+    names = [F.bit_xor(F.xxhash64("name", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    rows = landed(rows, "ngram-able")
+    sets = rows.groupBy("gram").agg(F.count("*").alias("times"), *names)
+    first = sets.groupBy("times", "s1", "s2").agg(F.min("gram").alias("gram")).select("gram")
+    return rows.join(first, "gram", "left_semi")
+
+
 def _several(rows: DataFrame) -> DataFrame:
     """The n-grams whose classes are in different components and of different R, with the number of their classes."""
     ends = [f(c).alias(f"{c}_{f.__name__}") for c in ("top", "same") for f in (F.min, F.max)]

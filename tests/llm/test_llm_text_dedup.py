@@ -206,3 +206,12 @@ def test_shared_passages_and_near_copies_against_plain_python(spark, monkeypatch
 
 def test_ngram_join_of_an_empty_table(spark):
     assert ngram_join.near_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ngrams_of_the_same_classes_are_taken_once(spark):
+    """Of the n-grams that the same classes hold one is joined; those of other classes stay."""
+    from loanframe.llm import ngram_join
+
+    rows = [(g, c) for g in range(50) for c in (1, 2, 3)] + [(60, 1), (60, 2), (61, 2), (61, 3), (61, 1), (61, 4)]
+    kept = ngram_join._once(spark.createDataFrame(rows, "gram bigint, name bigint")).collect()
+    assert sorted(map(tuple, kept)) == [(0, 1), (0, 2), (0, 3), (60, 1), (60, 2), (61, 1), (61, 2), (61, 3), (61, 4)]
