@@ -431,6 +431,13 @@ ORACLE["report_store"] = with_standins(
 )
 
 
+# What the check looks at in a payload.
+PAYLOAD = """loan_data STRUCT<accounts: INT>, features STRUCT<income_mean: DOUBLE>, profiles STRUCT<savings_habit: INT>,
+retrieved_cases ARRAY<STRUCT<case_id: BIGINT, payload: STRUCT<loan_status: STRING, int_rate: DOUBLE>>>, interest_rate DOUBLE,
+bank_risk_tolerance STRING, profiles_definitions STRUCT<growth_potential: STRING>, decision STRUCT<reason: STRING>,
+user_directives STRING"""
+
+
 @query
 def request_table(spark, sf):
     apps = standin(spark, sf, "application")
@@ -450,23 +457,23 @@ def request_table(spark, sf):
     )
     df = records.requests(apps, flags, found, scores, decisions=decided)
 
-    def value(path: str, kind: str):
-        return F.get_json_object("payload", path).cast(kind)
-
-    return df.select(
+    # Read back at once: a path at a time parses the whole payload for every column.
+    said = df.withColumn("said", F.from_json("payload", PAYLOAD))
+    case = F.get("said.retrieved_cases", F.lit(0))
+    return said.select(
         "app_id", "task", "criterion",
-        value("$.loan_data.accounts", "int").alias("accounts"),
-        rounded(value("$.features.income_mean", "double")).alias("income_mean"),
-        value("$.profiles.savings_habit", "int").alias("savings_habit"),
-        value("$.retrieved_cases[0].case_id", "bigint").alias("case_id"),
-        value("$.interest_rate", "double").alias("rate"),
-        value("$.bank_risk_tolerance", "string").alias("tolerance"),
-        value("$.profiles_definitions.growth_potential", "string").alias("definition"),
-        value("$.retrieved_cases[0].payload.loan_status", "string").alias("case_status"),
-        rounded(value("$.retrieved_cases[0].payload.int_rate", "double")).alias("case_rate"),
-        value("$.decision.reason", "string").alias("reason"),
+        F.col("said.loan_data.accounts").alias("accounts"),
+        rounded(F.col("said.features.income_mean")).alias("income_mean"),
+        F.col("said.profiles.savings_habit").alias("savings_habit"),
+        case["case_id"].alias("case_id"),
+        F.col("said.interest_rate").alias("rate"),
+        F.col("said.bank_risk_tolerance").alias("tolerance"),
+        F.col("said.profiles_definitions.growth_potential").alias("definition"),
+        case["payload"]["loan_status"].alias("case_status"),
+        rounded(case["payload"]["int_rate"]).alias("case_rate"),
+        F.col("said.decision.reason").alias("reason"),
         F.col("payload").contains('"rate":null').alias("null_rate_kept"),
-        value("$.user_directives", "string").alias("directives"),
+        F.col("said.user_directives").alias("directives"),
     )
 
 

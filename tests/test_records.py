@@ -121,3 +121,23 @@ def test_numbers_in_texts_look_like_python_floats(spark):
     values = [0.0, 0.0005, 1e-4, 9.99e-5, 1e-5, 2.5e-7, 1e7, 12345678.25, 123456789.0, 1e15, 1e16, 1e20, 1e300, -0.00025, -1e16, 0.001, 3.5, 1e-300]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(plain_number(F.col("v"))).collect()] == [repr(v) for v in values]
+
+
+def test_requests_are_read_back_in_one_parse(spark, tmp_path):
+    from loanframe.checks import records as checks
+
+    customers = [(1, "RENT", 100.0), (2, None, -5.0)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(3, 1, 10.0), (4, 2, None), (5, 2, 7.5)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    df = checks.request_table(spark, str(tmp_path))
+    got = {(r.app_id, r.task, r.criterion): r for r in df.collect()}
+    assert len(got) == 21
+    decision, evaluation, report = got[4, "decision", None], got[3, "evaluation", None], got[3, "report", None]
+    assert (decision.accounts, decision.income_mean, decision.savings_habit, decision.case_id) == (2, 1.0, 0, 1_000_004)
+    assert (decision.case_status, decision.case_rate, decision.rate, decision.reason) == ("Fully Paid", 9.0, 0.125, None)
+    assert (evaluation.tolerance, evaluation.reason, evaluation.null_rate_kept) == ("medium", "reason 3", True)
+    assert report.directives == "No additional directions provided." and report.case_id is None
+    assert got[5, "profile", None].accounts is None and got[5, "profile", None].definition is not None
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and len({x for x in plan.splitlines() if "from_json" in x}) == 1
