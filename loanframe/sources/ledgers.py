@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loanframe.operators.prefix import CHUNK_BITS, running_sums
 from loanframe.plans.records import priced
+from loanframe.session import few_listing_tasks
 from loanframe.sources.records import append_once
 
 # Days one load may touch; their names are part of the plan.
@@ -31,6 +32,7 @@ def append_calls(calls: DataFrame, path: str, load: str) -> list[str]:
     ``call_id`` is a unique BIGINT. Calls without a time come before all others.
     """
     spark = calls.sparkSession
+    few_listing_tasks(spark)
     filed = priced(calls).withColumn("day", F.concat(F.lit("d"), F.coalesce(F.date_format("timestamp", "yyyy-MM-dd"), F.lit(""))))
     days = _days(filed)
     append_once(filed, f"{path}/calls", load, ["call_id"], by=["day"])
@@ -53,6 +55,7 @@ def day_totals(spark: SparkSession, path: str) -> DataFrame:
 
 def running(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
     """Calls with running totals over the whole ledger, of all days or of those named."""
+    few_listing_tasks(spark)
     calls = spark.read.parquet(f"{path}/calls")
     if days is not None:
         calls = calls.where(F.col("day").isin(days))

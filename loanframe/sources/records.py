@@ -37,8 +37,11 @@ def append_once(
         # A null is a key like any other.
         same = [F.col(f"__new.{k}").eqNullSafe(F.col(f"__old.{k}")) for k in keys]
         rows = rows.alias("__new").join(written.alias("__old"), same, "left_anti")
-    writer = rows.write.mode("append")
-    (writer.partitionBy(*by) if by else writer).parquet(target)
+    if by:
+        # Rows of a folder are gathered, and split again where they are many: one file a folder instead of one a task.
+        rows.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(target)
+    else:
+        rows.write.mode("append").parquet(target)
 
 
 def append_history(history: DataFrame, path: str) -> None:

@@ -144,3 +144,21 @@ def test_codes_and_answers_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(approx, "PLACED_AT_ONCE", 7)
     monkeypatch.setattr(approx, "ASKED_AT_ONCE", 5)
     assert sorted(map(tuple, approx.approximate_topk(left, right, 3).collect())) == whole and len(whole) == 900
+
+
+def test_a_ledger_of_many_days_is_listed_by_few_tasks(spark, tmp_path):
+    path, days = str(tmp_path / "ledger"), 90
+    rows = calls(spark, [(i, i % days * 86_400, 1) for i in range(4 * days)]).repartition(6)
+    spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    context = spark.sparkContext
+    context.setJobGroup("ledger-listing", "tasks of an append and a reading")
+    try:
+        assert len(ledgers.append_calls(rows, path, "a")) == days
+        assert ledgers.running(spark, path).agg(F.max("cumulative_tokens")).first()[0] == 2 * 4 * days
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("ledger-listing") for s in tracker.getJobInfo(job).stageIds]
+    widest = max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
+    assert widest <= 64
+    assert len(files_below(f"{path}/calls")) == days
