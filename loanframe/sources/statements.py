@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanframe import schemas
-from loanframe.session import memory_bytes, scratch_path
+from loanframe.session import few_listing_tasks, memory_bytes, scratch_path
 
 # How statement files are named.
 BANK_FILES = "bank_user_*.csv"
@@ -58,7 +61,7 @@ def _scan(spark: SparkSession, paths: str | list[str], pattern: str, schema: str
     )
 
 
-# Files a load names to the reader.
+# Files that are named to the reader at once.
 MAX_FILES = 100_000
 SEEN = "path STRING, length BIGINT, modificationTime TIMESTAMP"
 
@@ -81,25 +84,32 @@ def unseen_files(spark: SparkSession, root: str, record: str) -> DataFrame:
     return found.join(seen, ["path", "length", "modificationTime"], "left_anti")
 
 
+def _some_paths(files: DataFrame) -> Iterator[list[str]]:
+    """The paths of the files, at most ``MAX_FILES`` at once."""
+    paths = (r["path"] for r in files.select("path").toLocalIterator())
+    while some := list(islice(paths, MAX_FILES)):
+        yield some
+
+
 def read_unseen(spark: SparkSession, root: str, record: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Bank rows, card rows, torn lines (user_id, line) and the files of everything new under ``root``.
 
     Only new or changed files are read. Hand the files to ``mark_seen`` once the rows are stored: what breaks
     off before is read again by the next run, what comes later is not missed.
     """
+    # Every file that is named is listed; by default each by a task of its own.
+    few_listing_tasks(spark)
     path = scratch_path(spark, "unseen")
     unseen_files(spark, root, record).write.parquet(path)
     files = spark.read.schema(SEEN).parquet(path)
-    names = [r["path"] for r in files.select("path").limit(MAX_FILES + 1).collect()]
-    if len(names) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} new files; read one folder after the other")
     parts = []
     for kind, pattern, schema in (("bank", BANK_FILES, schemas.BANK), ("card", CARD_FILES, schemas.CARD)):
-        chosen = [n for n in names if n.rsplit("/", 1)[-1].startswith(f"{kind}_user_")]
-        if chosen:
-            # Parsed once: good and torn lines come from one reading of the files.
-            parsed = scratch_path(spark, kind)
-            _scan(spark, chosen, pattern, schema, torn="__line").write.parquet(parsed)
+        # Parsed once: good and torn lines come from one reading of the files.
+        parsed, parses = scratch_path(spark, kind), False
+        for chosen in _some_paths(files.where(F.element_at(F.split("path", "/"), -1).startswith(f"{kind}_user_"))):
+            _scan(spark, chosen, pattern, schema, torn="__line").write.mode("append").parquet(parsed)
+            parses = True
+        if parses:
             parts.append(spark.read.parquet(parsed))
         else:
             parts.append(spark.createDataFrame([], f"user_id INT, {schema}, `__line` STRING, ord BIGINT"))

@@ -162,3 +162,18 @@ def test_a_ledger_of_many_days_is_listed_by_few_tasks(spark, tmp_path):
     widest = max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s))
     assert widest <= 64
     assert len(files_below(f"{path}/calls")) == days
+
+
+def test_more_new_files_than_are_named_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(statements, "MAX_FILES", 2)
+    spark.conf.unset("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    root, record = tmp_path / "files", str(tmp_path / "seen")
+    root.mkdir()
+    for user in range(5):
+        lines = f"2024-01-01,{user}.0,0.0,5.0,x\n2024-01-02,1.0,0.0,5.0,y\n" + ("broken line,,,,\n" if user == 3 else "")
+        (root / f"bank_user_{user:04d}.csv").write_text("date,income,expense,balance,description\n" + lines)
+    (root / "card_user_0001.csv").write_text("date,business_name,amount_of_deal,amount_paid,category\n2024-01-01,s,1.0,1.0,c\n")
+    bank, card, torn, files = statements.read_unseen(spark, f"file://{root}", record)
+    assert sorted(map(tuple, bank.select("user_id", "income").collect())) == sorted([(u, float(u)) for u in range(5)] + [(u, 1.0) for u in range(5)])
+    assert card.count() == 1 and [tuple(r) for r in torn.collect()] == [(3, "broken line,,,,")] and files.count() == 6
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 64
