@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +216,32 @@ def test_ngrams_of_the_same_classes_are_taken_once(spark):
     rows = [(g, c) for g in range(50) for c in (1, 2, 3)] + [(60, 1), (60, 2), (61, 2), (61, 3), (61, 1), (61, 4)]
     kept = ngram_join._once(spark.createDataFrame(rows, "gram bigint, name bigint")).collect()
     assert sorted(map(tuple, kept)) == [(0, 1), (0, 2), (0, 3), (60, 1), (60, 2), (61, 1), (61, 2), (61, 3), (61, 4)]
+
+
+def test_classes_just_too_far_apart_are_not_all_paired(spark, monkeypatch):
+    """47 of 71 2-grams are common to any two of them: all share n-grams, none links."""
+    seen = counted_pairs(monkeypatch)
+    rng = random.Random(8)
+    rows = []
+    for i in range(48):
+        words = [f"w{j}" for j in range(60)]
+        for j in rng.sample(range(1, 59, 2), 3):
+            words[j] = f"own{i}_{j}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.near_documents(frame(spark, rows), 2, 75).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute.ngram_components(rows, 2, 75)
+    assert sum(seen) < 48 * 47 // 4
+
+
+def test_documents_without_a_partner_send_no_ngrams(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"own{i}_{j}" for j in range(60))) for i in range(200)]
+    near = [f"n{j}" for j in range(60)]
+    rows += [(200, " ".join(near)), (201, " ".join(["other", *near[1:]])), (202, "two words"), (203, "Two words"), (204, ""), (205, None)]
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    none = spark.sparkContext.broadcast(np.empty(0, np.uint64))
+    staying = ngram_join._map_of_staying(docs, 5, 75, none, (len(rows), 200 * 500))
+    ids = np.arange(206)
+    found = set(ids[ngram_join._in_map(ids, staying)])
+    assert {200, 201, 202, 203} <= found and len(found) < 20
