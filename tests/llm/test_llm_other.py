@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -209,6 +210,30 @@ def test_toxic_expressions_are_learnt(spark):
     assert all(abs(again[i] - got[i]) < 1e-9 for i in got)
 
 
+def test_every_word_and_pair_counts(spark):
+    """Nothing is left out for being rare: all words and pairs of the texts that are counted are kept."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 40)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, marks)
+    counted = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) != 0).collect()}
+    texts = [t.split() for i, t in rows if i in counted]
+    words = Counter(w for t in texts for w in t)
+    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    assert 1 in words.values() and 1 in pairs.values()
+    tables = model.tables.value
+    assert len(tables.words.keys) == len(words) and len(tables.pairs.keys) == len(pairs)
+    assert len(tables.stems.keys) == len({w[: toxicity.STEM_BYTES] for w in words})
+    for table in (tables.stems, tables.words, tables.pairs):
+        assert (np.diff(table.keys) > 0).all() and np.isfinite(table.values).all()
+    # A word of one class alone leans to it, the more the more often it was seen.
+    toxic = Counter(w for (i, _), t in zip([r for r in rows if r[0] in counted], texts) if i % 5 == 0 for w in t)
+    w, stems = toxicity._read(pd.Series([" ".join(words)]))
+    lean = dict(zip(words, tables.ratios(w, stems)[0]))
+    assert min(lean[x] for x, n in words.items() if toxic[x] == n > 1) > max(lean[x] for x, n in words.items() if not toxic[x] and n > 1)
+
+
 def test_toxicity_without_both_classes(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     for rows in ([], [(1, 0)]):
