@@ -177,3 +177,30 @@ def test_more_new_files_than_are_named_at_once(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, bank.select("user_id", "income").collect())) == sorted([(u, float(u)) for u in range(5)] + [(u, 1.0) for u in range(5)])
     assert card.count() == 1 and [tuple(r) for r in torn.collect()] == [(3, "broken line,,,,")] and files.count() == 6
     assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 64
+
+
+def test_a_load_of_many_days_is_filed_by_month(spark, tmp_path, monkeypatch):
+    """More days than a load has folders: nothing is refused, and later loads of a few days lie beside it."""
+    monkeypatch.setattr(ledgers, "MAX_FOLDERS", 5, raising=False)
+    monkeypatch.setattr(ledgers, "MAX_DAYS", 5, raising=False)
+    path, day = str(tmp_path / "ledger"), 86_400
+    first = [(i, i * 3 % 100 * day + i, i) for i in range(120)] + [(900, None, 7), (901, 99 * day, 1)]
+    late = [(1000 + i, 31 * day + i, 2) for i in range(3)]
+    many = [(2000 + i, i * 300 * day, 3) for i in range(7)]
+    for _ in range(2):
+        assert len(ledgers.append_calls(calls(spark, first), path, "a")) == 101
+    assert ledgers.append_calls(calls(spark, late), path, "late") == ["d1970-02-01"]
+    assert len(ledgers.append_calls(calls(spark, many), path, "years")) == 7
+    folders = {f.split("day=")[1].split("/")[0] for f in files_below(f"{path}/calls")}
+    assert {"d", "d1970-01", "d1970-04", "d1970-02-01"} <= folders and len(folders) <= 5 + 1 + 7
+    rows = sorted(first + late + many, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    total, want = 0, {}
+    for i, _, n in rows:
+        total += 2 * n
+        want[i] = total
+    assert {r.call_id: r.cumulative_tokens for r in ledgers.running(spark, path).collect()} == want
+    part = ledgers.running(spark, path, ["d1970-02-01", "d"]).collect()
+    assert {r.call_id: r.cumulative_tokens for r in part} == {i: want[i] for i, s, _ in rows if s is None or s // day == 31}
+    assert {r.day for r in part} == {"d1970-02-01", "d"}
+    sums = {r.day: r.calls for r in ledgers.day_totals(spark, path).collect()}
+    assert sums["d1970-02-01"] == sum(s is not None and s // day == 31 for _, s, _ in rows) and sum(sums.values()) == len(rows)
