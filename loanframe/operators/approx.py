@@ -2,9 +2,11 @@
 
 A vector's code in a table is the side of each of a few random hyperplanes it lies on; vectors at a small
 angle agree in most bits. A query looks in its own bucket and in those that differ in the bits it is least
-sure of. Buckets are compared as blocks of vectors, each giving the best ``k`` of a query with their exact
-scores, so no candidate pair is ever a row; a bucket above ``BLOCK_ROWS`` is cut into several blocks, all of
-which are searched, so copies or a common direction do not crowd a task.
+sure of. Buckets whose codes begin alike meet their queries in one block, which gives the best ``k`` of each
+query with their exact scores: no candidate pair is ever a row, and a query travels once to a block, however
+many of its buckets are there, as it came and in its own precision. Blocks hold about ``BLOCK_ROWS`` cases
+and as many queries; what is more is cut into several blocks, all of which are searched, so copies or a common
+direction do not crowd a task.
 
 What is found carries the exact score and rank among the found; what is missed is the price. Recall is
 measured by ``recall`` against the exact search.
@@ -20,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loanframe.operators.topk import NOTHING, PLACES, Tile, _bytes, _dimensions, _matrix, _unit, cosine_topk
+from loanframe.operators.topk import (
+    GROUP_BYTES, NOTHING, PLACES, Tile, _dimensions, _landed, _ranked, _raw_bytes, _unit_of, cosine_topk,
+)
 
 TABLES = 12
 PROBES = 8
-# Cases a bucket should hold on average, most bits of a code, and cases of a block.
+# Cases a bucket should hold on average, most bits of a code, and most cases and most queries of a block.
 BUCKET_ROWS = 256
 MAX_BITS = 24
-BLOCK_ROWS = 8_192
+BLOCK_ROWS = 1 << 17
 # Vectors whose codes are found at once, and queries of a block that are searched at once.
 PLACED_AT_ONCE = 512
 ASKED_AT_ONCE = 4_096
@@ -84,51 +88,77 @@ def approximate_topk(
     planes = hyperplanes(dim, tables, bits, seed)
     query_type = queries.schema[query_id].dataType.simpleString()
     case_type = corpus.schema[case_id].dataType.simpleString()
+    kinds = {df.schema[vector].dataType.elementType.simpleString() for df in (queries, corpus)}
+    kind = "<f4" if kinds == {"float"} else "<f8"
+    # Long vectors make small blocks; the first bits of a code name the block.
+    rows = max(1, min(BLOCK_ROWS, 2 * GROUP_BYTES // (8 * max(dim, 1))))
+    low = bits - min(bits, math.ceil(math.log2(max(held / rows, 1))))
 
-    def placed(probes: int):
-        @F.pandas_udf("struct<unit: binary, codes: array<bigint>>")
+    def placed(df: DataFrame, name: str, probes: int) -> DataFrame:
+        """Vectors with their codes table by table, as many of each."""
+
+        @F.pandas_udf("struct<raw: binary, codes: array<bigint>>")
         def place(vectors: pd.Series) -> pd.DataFrame:
             parts = []
             for start in range(0, len(vectors), PLACED_AT_ONCE):
-                unit = _unit(vectors.iloc[start : start + PLACED_AT_ONCE], dim)
-                every = probed(*codes_of(unit, planes, tables), probes)
-                # Codes table by table, as many of each.
-                parts.append(pd.DataFrame({"unit": [_bytes(u) for u in unit], "codes": list(every.reshape(len(unit), -1))}))
-            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"unit": [], "codes": []})
-
-        each = F.expr(f"transform(codes, (c, i) -> struct(CAST(floor(i * {tables} / size(codes)) AS INT) AS t, c AS code))")
-        return lambda df, name: (
-            df.select(F.col(name), place(vector).alias("p")).select(name, "p.unit", "p.codes").select(name, "unit", F.explode(each).alias("at"))
-        )
-
-    # Blocks follow the size of a bucket; hashes spread its rows over them.
-    cases = placed(1)(corpus, case_id).select(F.col(case_id).alias("case"), "unit", "at.t", "at.code")
-    blocks = cases.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    right = cases.join(blocks, ["t", "code"]).withColumn("block", F.pmod(F.xxhash64("case"), "blocks").cast("int"))
-    asked = placed(probes)(queries, query_id).select(F.col(query_id).alias("asked"), "unit", "at.t", "at.code")
-    left = asked.join(blocks, ["t", "code"])
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                raw = _raw_bytes(vectors.iloc[start : start + PLACED_AT_ONCE], kind, dim)
+                every = probed(*codes_of(_unit_of(raw, kind, dim), planes, tables), probes)
+                each = [row.tobytes() for row in np.frombuffer(raw, kind).reshape(-1, dim)]
+                parts.append(pd.DataFrame({"raw": each, "codes": list(every.reshape(len(each), -1))}))
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"raw": [], "codes": []})
+
+        return _landed(df.select(F.col(name).alias("id"), place(vector).alias("p")).select("id", "p.raw", "p.codes"), "search-codes")
+
+    each = F.expr(f"transform(codes, (c, i) -> struct(CAST(floor(i * {tables} / size(codes)) AS INT) AS t, shiftright(c, {low}) AS high))")
+    cells = lambda df: df.withColumn("at", F.explode(F.array_distinct(each))).select("*", "at.t", "at.high").drop("at")
+    cases, asked = cells(placed(corpus, case_id, 1)), cells(placed(queries, query_id, probes))
+
+    # Few counts: tables times the first bits. Hashes spread what is too much for one block.
+    counted = lambda df, name: df.groupBy("t", "high").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    cuts = F.broadcast(counted(cases, "blocks").join(counted(asked, "parts"), ["t", "high"]))
+    spread = lambda df, own, other: (
+        df.join(cuts, ["t", "high"]).withColumn(own, F.pmod(F.xxhash64("id"), F.col(f"{own}s")).cast("int"))
+        .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+    )
+    code = F.expr("codes[t]").alias("code")
+    mine = F.expr(f"filter(slice(codes, t * size(codes) DIV {tables} + 1, size(codes) DIV {tables}), c -> shiftright(c, {low}) = high)").alias("codes")
+    on = ["t", "high", "block", "part"]
+    left = spread(asked, "part", "block").select(*on, "id", "raw", mine)
+    right = spread(cases, "block", "part").select(*on, "id", "raw", code)
 
     def compare(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        """The best of each query in all of its buckets of a block."""
         if few.empty or many.empty:
             return pd.DataFrame({"asked": [], "case": [], "score": []})
-        tile = Tile(many["case"].to_numpy(), _matrix(b"".join(many["unit"]), dim))
+        many = many.sort_values("code", kind="stable")
+        codes, ids = many["code"].to_numpy(), many["id"].to_numpy()
+        unit = _unit_of(b"".join(many["raw"]), kind, dim)
+        sizes = few["codes"].map(len).to_numpy()
+        wanted, asking = np.concatenate(few["codes"].to_list()), np.repeat(np.arange(len(few)), sizes)
+        order = np.argsort(wanted, kind="stable")
+        wanted, asking = wanted[order], asking[order]
+        query_ids, vectors = few["id"].to_numpy(), few["raw"].to_numpy()
         out = []
-        for start in range(0, len(few), ASKED_AT_ONCE):
-            part = few.iloc[start : start + ASKED_AT_ONCE]
-            query_ids = part["asked"].to_numpy()
-            floors = np.full(len(part), -np.inf)
-            scores, places, _ = tile.search(query_ids, _matrix(b"".join(part["unit"]), dim), floors, k, exclude_self)
-            take = scores != NOTHING
-            out.append(
-                pd.DataFrame(
-                    {"asked": np.repeat(query_ids, take.sum(axis=1)), "case": tile.by_place[places[take]], "score": scores[take] / PLACES}
-                )
-            )
-        return pd.concat(out, ignore_index=True)
-
-    on = ["t", "code", "block"]
-    found = left.select(*on, "asked", "unit").groupBy(*on).cogroup(right.select(*on, "case", "unit").groupBy(*on))
+        for bucket in np.unique(wanted):
+            begin, end = np.searchsorted(codes, [bucket, bucket + 1])
+            if begin == end:
+                continue
+            tile = Tile(ids[begin:end], unit[begin:end])
+            here = asking[slice(*np.searchsorted(wanted, [bucket, bucket + 1]))]
+            for start in range(0, len(here), ASKED_AT_ONCE):
+                some = here[start : start + ASKED_AT_ONCE]
+                asks = _unit_of(b"".join(vectors[some]), kind, dim)
+                scores, places, _ = tile.search(query_ids[some], asks, np.full(len(some), -np.inf), k, exclude_self)
+                take = scores != NOTHING
+                out.append((np.repeat(some, take.sum(axis=1)), tile.by_place[places[take]], scores[take]))
+        if not out:
+            return pd.DataFrame({"asked": [], "case": [], "score": []})
+        found = pd.DataFrame(dict(zip(("asked", "case", "score"), map(np.concatenate, zip(*out))))).drop_duplicates(ignore_index=True)
+        place = np.unique(found["case"], return_inverse=True)[1]
+        found = found.iloc[_ranked(found["asked"].to_numpy(), found["score"].to_numpy(), place, k)]
+        return pd.DataFrame({"asked": query_ids[found["asked"]], "case": found["case"].to_numpy(), "score": found["score"].to_numpy() / PLACES})
+
+    found = left.groupBy(*on).cogroup(right.groupBy(*on))
     found = found.applyInPandas(compare, f"asked {query_type}, case {case_type}, score double").distinct()
     order = W.partitionBy("asked").orderBy(F.desc("score"), "case")
     return (

@@ -204,3 +204,33 @@ def test_a_load_of_many_days_is_filed_by_month(spark, tmp_path, monkeypatch):
     assert {r.day for r in part} == {"d1970-02-01", "d"}
     sums = {r.day: r.calls for r in ledgers.day_totals(spark, path).collect()}
     assert sums["d1970-02-01"] == sum(s is not None and s // day == 31 for _, s, _ in rows) and sum(sums.values()) == len(rows)
+
+
+def test_a_query_travels_once_to_a_block(spark, monkeypatch):
+    """One block a table holds this corpus: a vector is sent to it once for all of its probes."""
+    rows = [(i, [random.Random(i).gauss(0, 1) for _ in range(8)]) for i in range(600)]
+    monkeypatch.setattr(approx, "BUCKET_ROWS", 10)
+    right = spark.createDataFrame(rows, "case_id bigint, vector array<double>")
+    left = right.where("case_id < 100").withColumnRenamed("case_id", "query_id")
+    found = approx.approximate_topk(left, right, 3, tables=4, probes=8)
+    assert found.count() == 300
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    sent = []
+
+    def walk(node):
+        if "FlatMapCoGroups" in node.nodeName():
+            sent.extend(rows_of(node.children().apply(i)) for i in range(2))
+        inner = node.children()
+        for i in range(inner.size()):
+            walk(inner.apply(i))
+        if "QueryStage" in node.nodeName():
+            walk(node.plan())
+
+    def rows_of(node):
+        while "Exchange" not in node.nodeName() or "QueryStage" in node.nodeName():
+            node = node.plan() if "QueryStage" in node.nodeName() else node.children().apply(0)
+        return node.metrics().apply("shuffleRecordsWritten").value()
+
+    walk(plan.executedPlan() if "Adaptive" in plan.nodeName() else plan)
+    assert sent == [100 * 4, 600 * 4]
