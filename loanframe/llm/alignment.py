@@ -48,6 +48,8 @@ PIECE = 1 << 18
 #: Bytes of text encoded at once, and bytes whose tokens are laid end to end and cut into pieces.
 ENCODED = 1 << 18
 LAID = 1 << 20
+#: Pairs in a row of the table of pieces. Spark reads thousands of rows of a table at once, so rows are small.
+LISTED = 512
 
 #: Letters, digits and signs that every version of Unicode classes alike. Texts of them are cut in the same
 #: way by either of the two libraries that know the first vocabulary; the faster one takes these.
@@ -306,6 +308,13 @@ def _without_tokens(row: int, doc_id) -> dict:
     }
 
 
+def _in_rows(doc: dict, most: int) -> Iterator[dict]:
+    """A document of a piece with at most ``most`` of its pairs a row; ``whole`` is null in all rows but the first."""
+    for i in range(0, max(len(doc["pair_at"]), 1), most):
+        row = doc | {"pair_at": doc["pair_at"][i : i + most], "pair_n": doc["pair_n"][i : i + most]}
+        yield row | {"whole": None, "groups": None} if i else row
+
+
 # Spark
 
 
@@ -395,10 +404,10 @@ def overlaps(
 
 
 def _worked_pieces(docs: DataFrame, key: str, text: str, a: str, b: str, piece: int) -> DataFrame:
-    """A row per piece: its pairs of ids with their numbers, and the documents in it."""
+    """Rows of a piece: its pairs of ids with their numbers, so many a row from place ``at`` on, and the documents in it."""
     sent = _files(docs.sparkSession, a, b)
     fields = pa.schema(
-        [("piece", pa.int64()), ("pair", pa.list_(pa.int64())), ("pair_n", pa.list_(pa.int64())), ("docs", pa.list_(DOCS))]
+        [("piece", pa.int64()), ("at", pa.int32()), ("pair", pa.list_(pa.int64())), ("pair_n", pa.list_(pa.int64())), ("doc", DOCS)]
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,12 +419,16 @@ def _worked_pieces(docs: DataFrame, key: str, text: str, a: str, b: str, piece:
                 found, pairs, times = _documents_of(codec, laid, no, begin, end, rows, doc_ids)
                 if no == 0:
                     found += [_without_tokens(*x) for x in dead]
-                yield pa.RecordBatch.from_pylist(
-                    [{"piece": name, "pair": pairs, "pair_n": times, "docs": found}], schema=fields
-                )
+                made = [
+                    {"piece": name, "at": i, "pair": pairs[i : i + LISTED], "pair_n": times[i : i + LISTED]}
+                    for i in range(0, len(pairs), LISTED)
+                ]
+                made += [{"piece": name, "doc": row} for doc in found for row in _in_rows(doc, LISTED)]
+                if made:
+                    yield pa.RecordBatch.from_pylist(made, schema=fields)
                 name += 1
 
-    schema = f"piece bigint, pair array<bigint>, pair_n array<bigint>, docs array<struct<{DOCS_DDL.replace(' ', ':').replace(',:', ',')}>>"
+    schema = f"piece bigint, at int, pair array<bigint>, pair_n array<bigint>, doc struct<{DOCS_DDL.replace(' ', ':').replace(',:', ',')}>"
     return _input(docs, key, text).mapInArrow(work, schema)
 
 
@@ -429,6 +442,11 @@ def _looked_up(parts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     at, n = parts["pair_at"], parts["pair_n"]
     out["n_best"] = [int((best[i] * k).sum()) for i, k in zip(at, n)]
     out["count_sum"] = [int((count[i] * k.astype(np.int64)).sum()) for i, k in zip(at, n)]
+    first = out["whole"].notna()
+    if not first.all():
+        sums = ["n_best", "count_sum"]
+        out[sums] = out.groupby(["row", "part"])[sums].transform("sum")
+        out = out[first].astype({"whole": bool})
     return out
 
 
@@ -461,15 +479,15 @@ def align(
     """
     worked = landed(_worked_pieces(docs, key, text, a, b, piece), "aligned-pieces")
     width = len(_codec(*_files(docs.sparkSession, a, b).value).bytes_b)
-    asked = worked.select("piece", F.posexplode(F.arrays_zip("pair", "pair_n")).alias("at", "x")).select(
-        "piece", "at", F.col("x.pair").alias("pair"), F.col("x.pair_n").alias("n")
+    asked = worked.where("doc IS NULL").select("piece", "at", F.posexplode(F.arrays_zip("pair", "pair_n")).alias("i", "x")).select(
+        "piece", (F.col("at") + F.col("i")).alias("at"), F.col("x.pair").alias("pair"), F.col("x.pair_n").alias("n")
     )
     totals = asked.groupBy("pair").agg(F.sum("n").alias("total")).withColumn("b_id", F.col("pair") % width)
     # At most one row per id of the second vocabulary.
     top = totals.groupBy("b_id").agg(F.max("total").alias("most"))
     known = totals.join(F.broadcast(top), "b_id").select("pair", "total", (F.col("total") == F.col("most")).cast("int").alias("best"))
     answers = asked.join(known, "pair").select(F.col("piece").alias("asking"), "at", "total", "best")
-    parts = worked.select("piece", F.inline("docs"))
+    parts = worked.where("doc IS NOT NULL").select("piece", "doc.*")
     kept = DOCS_DDL.replace(", pair_at array<int>, pair_n array<int>", ", n_best bigint, count_sum bigint")
     summed = landed(
         parts.groupBy("piece").cogroup(answers.groupBy("asking")).applyInPandas(_looked_up, kept), "aligned-parts"

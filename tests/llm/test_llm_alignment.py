@@ -130,3 +130,16 @@ def test_one_very_long_text_is_stitched_from_many_pieces(spark):
     docs = spark.createDataFrame([(7, text), (8, "short")], "doc_id bigint, text string")
     few, many = (sorted(tuple(r) for r in alignment.align(docs, piece=p).collect()) for p in (700, 1 << 20))
     assert few == many and few[0][1] > 5000
+
+
+def test_rows_of_the_table_of_pieces_are_small(spark, monkeypatch):
+    """Spark reads thousands of rows at once: no row holds a whole piece, and the results are the same."""
+    monkeypatch.setattr(alignment, "LISTED", 7, raising=False)
+    texts = [*some_texts(random.Random(8), 60), "", None, "a"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for piece in (alignment.PIECE, 50):
+        rows = alignment._worked_pieces(docs, "doc_id", "text", alignment.TOKENIZER_A, alignment.TOKENIZER_B, piece).collect()
+        held = [max(len(r.pair or []), len(r.doc.pair_at) if r.doc else 0) for r in rows]
+        assert max(held) == 7 and len(held) > len(texts)
+        got = {r.doc_id: tuple(r)[1:] for r in alignment.align(docs, piece=piece).collect()}
+        assert [got[i] for i in range(len(texts))] == expected(texts)
